@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import linededup, secrets, shards, simhash
 from .common import documents
 
 QUERIES: dict = {}
@@ -23,3 +23,50 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose three-word SimHash fingerprints differ in at most three bits."""
     found = simhash.near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: counts and a digest of the base kinds, and all spans."""
+    rules = secrets.BASE + secrets.ADDED
+    found = secrets.scanned(documents(spark, sf_dir).select("doc_id", "text"), rules)
+    base = F.filter("__spans", lambda x: x["k"] < len(secrets.BASE))
+
+    def count(k: int, kind: str):
+        return F.size(F.filter("__spans", lambda x: x["k"] == k)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k, r.kind) for k, r in enumerate(secrets.BASE)]
+    return found.select(
+        "doc_id", *counts, F.sha2(secrets.rendered(base, rules).cast("binary"), 256).alias("base_sha256"), secrets.rendered(F.col("__spans"), rules).alias("spans")
+    )
+
+
+ORACLES["op4_secrets"] = secrets.oracle()
+
+
+@query
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen shards of documents with near-equal bytes; equal texts stay together."""
+    found = shards.sharded(documents(spark, sf_dir), 16)
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines before and after dropping those that three or more documents share, and a digest of what stays."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    kept = linededup.with_kept(docs, linededup.keep_bitmaps(docs))
+    return kept.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2(F.col("__kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+ORACLES["op10_line_dedup"] = """
+WITH cut AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM cut),
+k AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+g AS (SELECT key, max(doc_id) AS top FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3)
+SELECT k.doc_id, count(*) AS n_lines,
+       count(*) FILTER (g.key IS NOT NULL AND k.doc_id <> g.top) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (g.key IS NULL OR k.doc_id = g.top), '')) AS kept_sha256
+FROM k LEFT JOIN g ON k.key = g.key GROUP BY k.doc_id
+"""
