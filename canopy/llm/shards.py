@@ -81,7 +81,7 @@ class Ranges:
             k = bisect_left(self.sums, aim)
             if k > at and aim - self.sums[k - 1] < self.sums[k] - aim:
                 k -= 1
-            k = min(max(k, back[left], at), bisect_right(self.sums, self.sums[at] + capacity) - 1)
+            k = min(max(k, back[left], at + 1), bisect_right(self.sums, self.sums[at] + capacity) - 1)
             out.append(k)
             at = k
         return [self.rows[k][0] for k in out if k < len(self.rows)]
