@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, secrets, shards, simhash
+from . import decontaminate, linededup, secrets, shards, simhash
 from .common import documents
 
 QUERIES: dict = {}
@@ -25,6 +25,28 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items of which a document holds at least four fifths of the five-word shingles."""
+    found = decontaminate.contained(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select("doc_id", "item_id", F.array_join(F.col("item_ids").cast("array<string>"), ",").alias("item_ids"), "n_shingles", "n_found", "containment")
+
+
+#: Items of fewer than five words, which count as one shingle, don't occur in the tables and are left out here.
+ORACLES["op1_decontamination"] = r"""
+WITH w AS (SELECT 'd' AS kind, doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F\x{A0}\x{A1}\x{AB}\x{BB}\x{BF}\x{2000}-\x{206F}\x{3000}-\x{3003}]+') AS w FROM documents
+           UNION ALL SELECT 'i', item_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F\x{A0}\x{A1}\x{AB}\x{BB}\x{BF}\x{2000}-\x{206F}\x{3000}-\x{3003}]+') FROM benchmark),
+s AS (SELECT kind, id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4] AS s
+      FROM (SELECT kind, id, w, unnest(range(1, len(w) - 3)) AS i FROM w)),
+u AS (SELECT DISTINCT kind, id, s FROM s),
+c AS (SELECT id, count(*) AS n, string_agg(s, '|' ORDER BY s) AS content FROM u WHERE kind = 'i' GROUP BY id),
+g AS (SELECT min(id) AS item_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS item_ids, any_value(n) AS n FROM c GROUP BY content)
+SELECT d.id AS doc_id, g.item_id, g.item_ids, g.n AS n_shingles, count(*) AS n_found, count(*) / CAST(g.n AS DOUBLE) AS containment
+FROM g JOIN u i ON i.kind = 'i' AND i.id = g.item_id JOIN u d ON d.kind = 'd' AND d.s = i.s
+GROUP BY d.id, g.item_id, g.item_ids, g.n HAVING count(*) >= 0.8 * g.n
+"""
+
+
 @query
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document: counts and a digest of the base kinds, and all spans."""
