@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, linededup, secrets, shards, simhash
+from . import bpe, decontaminate, licenses, linededup, secrets, shards, simhash
 from .common import documents
 
+#: The ranks that the tokenizer queries use.
+RANKS = "byte_bpe_multi_50k.tiktoken"
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -18,6 +21,32 @@ def query(f):
     return f
 
 
+def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of documents, encoded and then decoded from their ids."""
+    encoded = bpe.encoded(docs, path, pattern)
+    both = bpe.decoded(encoded, path, ("doc_id", "tokens"))
+    return both.select(
+        "doc_id",
+        F.floor(F.octet_length("tokens") / 4).cast("long").alias("n_tokens"),
+        F.sha2("tokens", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE of every document with the public multilingual ranks, and back."""
+    import public_tokenizers
+
+    return digests(documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+
+
+@query
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases, tags and labels of every document."""
+    return licenses.scanned(documents(spark, sf_dir))
+
+
 @query
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose three-word SimHash fingerprints differ in at most three bits."""
