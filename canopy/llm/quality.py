@@ -165,7 +165,7 @@ def fitted(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIV
     wanted = {r["doc_id"]: r["p"] for r in chosen.limit(4 * (most_positive + most_unlabelled)).collect()}
     if not wanted:
         return None
-    some = docs.select("doc_id", "text").filter(train & F.pmod(F.xxhash64(F.lit("quality-u"), "doc_id"), F.lit(1 << 20)).isNotNull())
+    some = docs.select("doc_id", "text").filter(train)
     listed = docs.sparkSession.createDataFrame([(i,) for i in wanted], "doc_id long")
     rows = featured(some.join(F.broadcast(listed), "doc_id", "left_semi"), ("doc_id",)).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["features"]))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, licenses, linededup, secrets, shards, simhash
+from . import bpe, decontaminate, langid, licenses, linededup, quality, secrets, shards, simhash
 from .common import documents
 
 #: The ranks that the tokenizer queries use.
@@ -41,6 +41,15 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+@query
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document, learned from the labels outside the held-out quarter."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = quality.scored(docs, quality.fitted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    held = F.coalesce(quality.quarter(F.col("doc_id")) == 2, F.lit(False))
+    return found.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= quality.ACCEPT).cast("int").alias("predicted"))
+
+
 @query
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases, tags and labels of every document."""
@@ -76,6 +85,14 @@ GROUP BY d.id, g.item_id, g.item_ids, g.n HAVING count(*) >= 0.8 * g.n
 """
 
 
+@query
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those outside the held-out third."""
+    docs = documents(spark, sf_dir)
+    found = langid.identified(docs.select("doc_id", "text"), langid.fitted(docs))
+    return found.select("doc_id", F.coalesce(langid.third(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document: counts and a digest of the base kinds, and all spans."""
