@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, licenses, linededup, quality, secrets, shards, simhash
+from . import ann, bpe, decontaminate, langid, licenses, linededup, quality, secrets, shards, simhash
 from .common import documents
 
 #: The ranks that the tokenizer queries use.
@@ -85,6 +85,12 @@ GROUP BY d.id, g.item_id, g.item_ids, g.n HAVING count(*) >= 0.8 * g.n
 """
 
 
+@query
+def op2_mips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty rows of largest inner product found for every embedding whose id is divisible by 20."""
+    return ann.searched(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0, 20)
+
+
 @query
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from those outside the held-out third."""
