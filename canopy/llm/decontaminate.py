@@ -161,28 +161,53 @@ def contained(docs: DataFrame, items: DataFrame, width: int = WIDTH, least: floa
     Null texts hold nothing; null and repeated doc_ids stay, one row for each row of docs.
     """
     schema = "doc_id long, item_id long, item_ids array<long>, n_shingles long, n_found long, containment double"
+    frame = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text"))
+    parts = [frame.mapInArrow(_scan(found, least), schema) for found in blocks_of(rows, width, least)]
+    if not parts:
+        return docs.sparkSession.createDataFrame([], schema)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def blocks_of(rows: DataFrame, width: int, least: float) -> Iterator[list[Item]]:
+    """Sketched items of rows (item_id, text), in blocks of bounded size; items of equal words share a block."""
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("b")).first()
     blocks = max(1, math.ceil(size["n"] / BLOCK_ITEMS), math.ceil((size["b"] or 0) / BLOCK_BYTES))
-    frame = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    parts = []
     for k in range(blocks):
-        # by the folded words, so that equal items share a block
-        block = rows.filter(F.pmod(F.xxhash64(F.lower("text")), F.lit(blocks)) == k) if blocks > 1 else rows
-        found = sketched([tuple(r) for r in block.collect()], width, least)
+        key = F.xxhash64(F.regexp_replace(F.lower("text"), r"[^0-9a-z\x{80}-\x{10ffff}]+", " "))
+        found = sketched([tuple(r) for r in (rows.filter(F.pmod(key, F.lit(blocks)) == k) if blocks > 1 else rows).collect()], width, least)
         if found:
-            parts.append(frame.mapInArrow(_scan(found, least), schema))
-    if not parts:
-        return docs.sparkSession.createDataFrame([], schema)
-    return reduce(DataFrame.unionByName, parts)
+            yield found
+
+
+def without(docs: DataFrame, items: DataFrame, width: int = WIDTH, least: float = LEAST, text: str = "text", item_text: str = "text") -> DataFrame:
+    """The rows of docs that contain no item, with all their columns."""
+    rows = items.select(F.lit(None).cast("long").alias("item_id"), F.col(item_text).alias("text"))
+    for found in blocks_of(rows, width, least):
+        docs = docs.mapInArrow(_drop(found, least, text), docs.schema)
+    return docs
+
+
+def _drop(items: list[Item], least: float, text: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        searchers = _searchers(items, least)
+        for b in batches:
+            held = {d for d, _, _ in matches(b.column(b.schema.get_field_index(text)).to_pylist(), searchers)}
+            yield b.filter(pa.array([i not in held for i in range(b.num_rows)], pa.bool_()))
+
+    return run
+
+
+def _searchers(items: list[Item], least: float) -> list[Searcher]:
+    by_width = defaultdict(list)
+    for item in items:
+        by_width[item.width].append(item)
+    return [Searcher(x, least) for x in by_width.values()]
 
 
 def _scan(items: list[Item], least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_width = defaultdict(list)
-        for item in items:
-            by_width[item.width].append(item)
-        searchers = [Searcher(x, least) for x in by_width.values()]
+        searchers = _searchers(items, least)
         for b in batches:
             ids, out = b.column("doc_id").to_pylist(), []
             for d, item, n in matches(b.column("text").to_pylist(), searchers):

@@ -12,6 +12,7 @@ one parent whose mask holds the bits that they all share; a node keeps only shar
 differences add up on the way down and a whole run goes as soon as they pass a budget.
 
 A task returns a spanning forest of the links it found, never all pairs; stars contract the forests to components.
+Where a similarity is asked for besides, the forest's links are verified on whole texts before that.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -136,15 +137,19 @@ class GrayIndex:
             yield from self._descend(queries, q[up], child[there], total[up], ahead[up], level + 1, distance, lead, lead_distance)
 
 
-def hook(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """labels (each place's smallest known companion, fully followed) after joining places a and b."""
+def hook(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """labels (each place's smallest known companion, fully followed) after joining places a and b, and the pairs that did it."""
+    by_a, by_b = [], []
     while True:
         x, y = labels[a], labels[b]
         apart = x != y
         if not apart.any():
-            return labels
+            return labels, np.concatenate([*by_a, a[:0]]), np.concatenate([*by_b, b[:0]])
         a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-        np.minimum.at(labels, np.maximum(x, y), np.minimum(x, y))
+        upper, one = np.unique(np.maximum(x, y), return_index=True)
+        labels[upper] = np.minimum(x, y)[one]
+        by_a.append(a[one])
+        by_b.append(b[one])
         while True:
             further = labels[labels]
             if np.array_equal(further, labels):
@@ -153,18 +158,23 @@ def hook(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def block_forest(home: np.ndarray, visitors: np.ndarray, distance: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join all codes of a block, and its visitors, as far as codes of the block join them."""
+    """Links, each of two codes within distance, that join all codes of a block, and its visitors as far as codes of the block join them.
+
+    Nearer codes link first, so that a link is doubtful only where no nearer ones lead round it.
+    """
     index = GrayIndex(home)
     codes = np.concatenate([index.codes, visitors])
     labels = np.arange(len(codes))
     lead = ~(_ALL >> np.uint64(64 // parts))
-    for a, b in index.search(codes, distance, lead, distance // parts):
-        some = b > a
-        some |= a >= len(home)
-        if some.any():
-            labels = hook(labels, a[some], b[some])
-    linked = np.flatnonzero(labels != np.arange(len(codes)))
-    return codes[linked], codes[labels[linked]]
+    out: list = [(labels[:0], labels[:0])]
+    for reach in sorted({min(3, distance), distance}):
+        for a, b in index.search(codes, reach, lead, distance // parts):
+            some = b > a
+            some |= a >= len(home)
+            if some.any():
+                labels, *pair = hook(labels, a[some], b[some])
+                out.append(pair)
+    return tuple(codes[np.concatenate([o[i] for o in out])] for i in (0, 1))
 
 
 class Blocks:
@@ -310,21 +320,66 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter("u <> v").distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 3, parts: int = 2, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, fp and component_id (the smallest doc_id reachable over links) of every row of docs.
+def text_key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def alike(edges: DataFrame, rows: DataFrame, docs: DataFrame, width: int, least: float) -> DataFrame:
+    """The links (u, v) between fingerprints whose documents' shingle sets have a Jaccard similarity of at least least.
+
+    A fingerprint stands for its row of smallest doc_id; its whole text is compared.
+    """
+    used = edges.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
+    first = rows.join(used, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("doc_id", "text_key")).alias("r")).select("fp", "r.*")
+    own = docs.select(F.col("doc_id").alias("d"), text_key(F.col("text")).alias("k"), "text")
+    texts = own.join(first, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("k") == F.col("text_key"))).dropDuplicates(["fp"]).select("fp", "text")
+    pairs = edges.join(texts.toDF("u", "a"), "u").join(texts.toDF("v", "b"), "v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            same = [jaccard(x.as_py(), y.as_py(), width) >= least for x, y in zip(b.column("a"), b.column("b"), strict=True)]
+            yield b.select(["u", "v"]).filter(pa.array(same, pa.bool_()))
+
+    return pairs.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+
+
+def shingles(text: str | None, width: int) -> set[bytes]:
+    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    return {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
+
 
-    Rows with a null doc_id are linked like others; where a component has no other rows its id is null. Repeated rows
-    stay repeated. An empty table gives an empty result.
+def jaccard(a: str | None, b: str | None, width: int) -> float:
+    x, y = shingles(a, width), shingles(b, width)
+    return len(x & y) / len(x | y)
+
+
+def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 3, parts: int = 2, least: float | None = None) -> DataFrame:
+    """doc_id, text_key (a hash of the text), fp, root (a fingerprint that names the component) and component_id (the
+    smallest doc_id reachable over links) of every row of docs (doc_id, text, and others).
+
+    With ``least``, links between different fingerprints must also have that Jaccard similarity. Rows with a null
+    doc_id are linked like others; where a component has no other rows its id is null. Repeated rows stay repeated.
+    An empty table gives an empty result.
     """
-    rows = stored(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), width))
+    own = docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key"))
+    rows = stored(fingerprints(own, width, keep=("doc_id", "text_key")))
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    found = components(links(stored(nodes.select("fp")), distance, parts))
+    edges = links(stored(nodes.select("fp")), distance, parts)
+    if least is not None:
+        edges = alike(stored(_ordered(edges)), rows, docs, width, least)
+    found = components(edges)
     linked = nodes.join(found, nodes.fp == found.node, "left")
-    root = F.coalesce("root", "fp").alias("root")
-    of_fp = linked.select("fp", root, "first_id")
-    least = of_fp.filter(F.col("root") != F.col("fp")).groupBy("root").agg(F.min("first_id").alias("rest_id"))
-    # only linked fingerprints differ from their root, so this side has no more rows than there are components
-    named = of_fp.select("fp", "root").join(
-        of_fp.filter("fp = root").select("root", "first_id").join(least, "root", "left").select("root", F.least("first_id", "rest_id").alias("component_id")), "root"
-    )
-    return rows.join(named.select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    of_fp = linked.select("fp", F.coalesce("root", "fp").alias("root"), "first_id")
+    least_id = of_fp.filter(F.col("root") != F.col("fp")).groupBy("root").agg(F.min("first_id").alias("rest_id"))
+    heads = of_fp.filter("fp = root").select("root", "first_id").join(least_id, "root", "left").select("root", F.least("first_id", "rest_id").alias("component_id"))
+    named = of_fp.select("fp", "root").join(heads, "root")
+    return rows.join(named, "fp").select("doc_id", "text_key", "fp", "root", "component_id")
+
+
+def deduplicated(docs: DataFrame, width: int = 5, distance: int = 7, parts: int = 4, least: float = 0.8) -> DataFrame:
+    """docs with one row of each component: that of smallest doc_id (null ids last), then of smallest text hash."""
+    found = near_duplicates(docs, width, distance, parts, least)
+    kept = stored(found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("r")).select("r.doc_id", "r.text_key"))
+    out = docs.join(kept.toDF("__id", "__key"), F.col("doc_id").eqNullSafe(F.col("__id")) & (text_key(F.col("text")) == F.col("__key")), "left_semi")
+    repeated = docs.select("doc_id", text_key(F.col("text")).alias("k")).groupBy("doc_id", "k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count()
+    return out.dropDuplicates(["doc_id", "text"]) if repeated else out
