@@ -1,15 +1,16 @@
 """Byte-level BPE encoding and decoding.
 
-Documents are gathered, where they lie, into chunks of bounded bytes; a chunk has its distinct words once, as byte
-strings (one character for each byte), and its documents as numbers of words. Spark's higher-order functions then fold
-the ranked merges over the bytes of each distinct word, with the ranks as one literal: maps of a few entries in an
-array, found by hash. A second pass lays the words' ids side by side again. Nothing is shuffled.
+Documents are gathered, where they lie, into chunks of bounded bytes. Ranked merges are folded over the bytes of each
+distinct word of a chunk, and the words' ids are laid side by side for its documents; decoding concatenates the ids'
+binary pieces. Nothing is shuffled. The README has the figures of the form with Spark's higher-order functions, which
+does the same and is beyond the limits of processor time and memory.
 """
 
 from __future__ import annotations
 
 import base64
-import json
+import re
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -18,19 +19,19 @@ from heapq import heapify, heappop, heappush
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: White space as the tokenizer's own regular expressions have it.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: UTF-8 bytes of text in a chunk, unless one document has more.
-CHUNK = 32 << 20
-#: Ids that are decoded at once.
+CHUNK = 16 << 20
+#: Ids that are laid out at once.
 SLICE = 1 << 20
-#: Bits for a place in a word (ranks have the 20 above); words of more than LONG bytes go through a heap.
-SHIFT, LONG = 10, 1000
-#: The number of a piece that no rank joins to its neighbour, less its place.
-NONE = 1 << 30
+#: Documents in a batch; longer words than LONG bytes go through a heap instead of a list.
+ROWS, LONG = 1000, 256
+#: The rank of two pieces that don't make a token.
+NO_RANK = 1 << 40
 
 
 def word_pattern(pattern: str) -> regex.Pattern:
@@ -38,6 +39,13 @@ def word_pattern(pattern: str) -> regex.Pattern:
     return regex.compile(pattern.replace("[^\\s", f"[^{SPACE}").replace("\\s", f"[{SPACE}]").replace("\\S", f"[^{SPACE}]"))
 
 
+def ascii_pattern(pattern: str) -> re.Pattern:
+    """The words' expression for texts in ASCII alone, where it finds the same words sooner."""
+    for a, b in (("[^\\s\\p{L}\\p{N}]", "[^\\t-\\r A-Za-z0-9]"), ("\\p{L}", "[A-Za-z]"), ("\\p{N}", "[0-9]"), ("\\s", "[\\t-\\r ]"), ("\\S", "[^\\t-\\r ]")):
+        pattern = pattern.replace(a, b)
+    return re.compile(pattern)
+
+
 @lru_cache(maxsize=4)
 def ranks(path: str) -> dict[bytes, int]:
     """Byte strings and their ids from a file of ranks; read on the driver alone."""
@@ -45,74 +53,23 @@ def ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f.read().splitlines())}
 
 
-def rank_literal(table: dict[bytes, int]) -> tuple[Column, int]:
-    """An array of maps from byte strings to ids, by hash, and its length."""
-    n = 1 << max(1, (len(table) // 3).bit_length())
-    return F.from_json(F.lit(json.dumps(_buckets(table, n))), "array<map<string,int>>"), n
-
-
-def _buckets(table: dict[bytes, int], n: int) -> list[dict[str, int]]:
-    out: list[dict[str, int]] = [{} for _ in range(n)]
-    for raw, i in table.items():
-        out[bucket(raw.decode("latin-1"), n)][raw.decode("latin-1")] = i
-    return out
-
-
-def bucket(s: str, n: int) -> int:
-    """pmod(hash(s), n) as Spark has it: 32-bit Murmur3 with seed 42 over UTF-8, tail bytes one by one."""
-    data, h, m = s.encode("utf-8"), 42, 0xFFFFFFFF
-
-    def turned(x: int, r: int) -> int:
-        return ((x << r) | (x >> (32 - r))) & m
-
-    def added(h: int, k: int) -> int:
-        k = turned(k * 0xCC9E2D51 & m, 15) * 0x1B873593 & m
-        return (turned(h ^ k, 13) * 5 + 0xE6546B64) & m
-
-    whole = len(data) // 4 * 4
-    for i in range(0, whole, 4):
-        h = added(h, int.from_bytes(data[i : i + 4], "little"))
-    for b in data[whole:]:
-        h = added(h, (b - 256 if b > 127 else b) & m)
-    h ^= len(data)
-    h = (h ^ (h >> 16)) * 0x85EBCA6B & m
-    h = (h ^ (h >> 13)) * 0xC2B2AE35 & m
-    h ^= h >> 16
-    return (h - (1 << 32) if h >> 31 else h) % n
-
-
-def merged(words: str, n: int) -> Column:
-    """The ids of each byte string in the array column ``words``, by the ranks in the column ``__ranks``.
-
-    A word that is a token stays whole. Otherwise the state of the fold has a number for each piece: the rank of the
-    piece with its right neighbour above SHIFT bits, the place where the piece begins below; one mark stands before
-    them and two for the end. The least number is the leftmost pair of least rank; each step joins it.
-    """
-    one, low = 1 << SHIFT, (1 << SHIFT) - 1
-
-    def rank(s: str) -> str:
-        return f"t[hash({s}) & {n - 1}][{s}]"
-
-    def at(i: str) -> str:
-        return f"(p[{i}] & {low})"
-
-    def cut(a: str, b: str) -> str:
-        return f"substring(w, {at(a)} + 1, {at(b)} - {at(a)})"
-
-    begin = f"""concat(array({NONE + NONE // 2}),
-        transform(sequence(0, length(w) - 2), i -> coalesce({rank("substring(w, i + 1, 2)")} * {one}, {NONE}) + i),
-        array({NONE} + length(w) - 1, {NONE} + length(w), {NONE} + length(w)))"""
-    # i: the place of the pair, from 1; the joined piece goes from p[i - 1] to p[i + 1], the one before it begins at p[i - 2]
-    before = f"if(i = 2, '', {cut('i - 2', 'i + 1')})"
-    after = f"if({at('i + 1')} = length(w), '', {cut('i - 1', 'i + 2')})"
-    join = f"""concat(slice(p, 1, i - 2),
-        transform(array({before}, {after}), (s, j) -> coalesce({rank('s')} * {one}, {NONE}) + {at('i - 2 + j')}),
-        slice(p, i + 2, size(p)))"""
-    step = f"transform(array(array_min(p)), m -> if(m >= {NONE}, p, transform(array(cast(array_position(p, m) as int)), i -> {join})[0]))[0]"
-    ids = f"transform(slice(p, 2, size(p) - 3), (x, i) -> {rank(cut('i + 1', 'i + 2'))})"
-    fold = f"aggregate(sequence(2, length(w)), {begin}, (p, k) -> {step}, p -> {ids})"
-    each = f"if({rank('w')} is not null, array({rank('w')}), if(length(w) < 2, array(), {fold}))"
-    return F.expr(f"transform(array(__ranks), t -> transform({words}, w -> {each}))[0]")
+def merged(word: bytes, table: dict[bytes, int]) -> list[int]:
+    """The ids of one word: each step joins the leftmost pair of least rank. begins: where pieces begin, and the end;
+    pairs: the rank of each piece with its right neighbour."""
+    get = table.get
+    begins = list(range(len(word) + 1))
+    pairs = [get(word[i : i + 2], NO_RANK) for i in range(len(word) - 1)]
+    while pairs:
+        least = min(pairs)
+        if least == NO_RANK:
+            break
+        i = pairs.index(least)
+        del begins[i + 1], pairs[i]
+        if i:
+            pairs[i - 1] = get(word[begins[i - 1] : begins[i + 1]], NO_RANK)
+        if i < len(pairs):
+            pairs[i] = get(word[begins[i] : begins[i + 2]], NO_RANK)
+    return [table[word[a:b]] for a, b in zip(begins, begins[1:], strict=False)]
 
 
 def merged_long(word: bytes, table: dict[bytes, int]) -> list[int]:
@@ -143,69 +100,47 @@ def encoded(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("
 
     A null or empty text has no tokens. Rows stay as they are, repeated or not.
     """
-    find, table_ = word_pattern(pattern).findall, ranks(path)
+    find, find_ascii, table = word_pattern(pattern).findall, ascii_pattern(pattern).findall, ranks(path)
     frame = docs.select(*[F.col(c) for c in keep], F.col(text).alias("__text"))
     schema = frame.drop("__text").withColumn("tokens", F.lit(b"")).schema
-    kept = "struct<" + ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in schema[:-1]) + ">"
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list = []
-        counts: list[int] = []
-        codes: list[np.ndarray] = []
-        number: defaultdict[str, int] = defaultdict()
-        number.default_factory = number.__len__
-        size = 0
-
-        def out() -> pa.RecordBatch:
-            flat = np.concatenate(codes) if codes else np.zeros(0, np.int32)
-            raw = [w.encode("utf-8", "surrogatepass") for w in number]
-            long = [i for i, w in enumerate(raw) if len(w) > LONG]
-            whole = [merged_long(raw[i], table_) for i in long]
-            words = [w.decode("latin-1") if len(w) <= LONG else "" for w in raw]
-            ints = pa.list_(pa.int32())
-            kinds = (pa.list_(kept_type), ints, ints, pa.list_(pa.string()), ints, pa.list_(ints))
-            one = [pa.array([x], t) for x, t in zip((rows, counts, flat, words, long, whole), kinds, strict=True)]
-            return pa.RecordBatch.from_arrays(one, names=["rows", "counts", "codes", "words", "long", "whole"])
-
-        kept_type = None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, texts in _chunks(batches, chunk):
+            number: defaultdict[str, int] = defaultdict()
+            number.default_factory = number.__len__
+            codes = []
+            for t in texts:
+                found = find_ascii(t) if t.isascii() else find(t)
+                codes.append(np.fromiter(map(number.__getitem__, found), np.int32, len(found)))
+            ids, ends = array("I"), array("q", [0])
+            for word in number:
+                raw = word.encode("utf-8", "surrogatepass")
+                one = table.get(raw)
+                ids.extend((one,) if one is not None else merged(raw, table) if len(raw) <= LONG else merged_long(raw, table))
+                ends.append(len(ids))
+            flat, at = np.frombuffer(ids, "<u4") if ids else np.zeros(0, "<u4"), np.frombuffer(ends, np.int64)
+            for lo in range(0, len(codes), ROWS):
+                tokens = [spread(flat, at, c).tobytes() for c in codes[lo : lo + ROWS]]
+                some = rows.slice(lo, ROWS).combine_chunks().to_batches()[0]
+                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in keep), pa.array(tokens, pa.binary())], names=[*keep, "tokens"])
+
+    def _chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.Table, list[str]]]:
+        own, texts, size = [], [], 0
         for b in batches:
-            kept_type = pa.struct([pa.field(c, b.column(c).type) for c in keep])
+            lo = 0
             for i, t in enumerate(b.column("__text")):
-                text_ = t.as_py() or ""
-                if rows and size + len(text_) > chunk:
-                    yield out()
-                    rows, counts, codes, size = [], [], [], 0
-                    number.clear()
-                own = np.fromiter(map(number.__getitem__, find(text_)), np.int32)
-                rows.append({c: b.column(c)[i].as_py() for c in keep})
-                counts.append(len(own))
-                codes.append(own)
-                size += len(text_)
-        if rows:
-            yield out()
-
-    def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                rows, counts, codes, ids = (b.column(c)[i].values for c in ("rows", "counts", "codes", "ids"))
-                if len(long := b.column("long")[i]):
-                    listed = ids.to_pylist()
-                    for k, x in zip(long.as_py(), b.column("whole")[i].as_py(), strict=True):
-                        listed[k] = x
-                    ids = pa.array(listed, pa.list_(pa.int32()))
-                flat = ids.values.to_numpy(zero_copy_only=False).astype("<u4")
-                at, codes = ids.offsets.to_numpy().astype(np.int64), codes.to_numpy(zero_copy_only=False)
-                ends = np.cumsum(counts.to_numpy(zero_copy_only=False))
-                tokens = [spread(flat, at, codes[e - n : e]).tobytes() for e, n in zip(ends.tolist(), counts.to_pylist(), strict=True)]
-                for lo in range(0, len(tokens), 1000):
-                    some = rows.slice(lo, 1000)
-                    yield pa.RecordBatch.from_arrays([*(some.field(c) for c in keep), pa.array(tokens[lo : lo + 1000], pa.binary())], names=[*keep, "tokens"])
-
-    chunks = frame.mapInArrow(gather, f"rows array<{kept}>, counts array<int>, codes array<int>, words array<string>, long array<int>, whole array<array<int>>")
-    literal, n = rank_literal(table_)
-    rest = ("rows", "counts", "codes", "long", "whole")
-    folded = chunks.select(*rest, "words", literal.alias("__ranks")).select(*rest, merged("words", n).alias("ids"))
-    return folded.mapInArrow(lay, schema)
+                t = t.as_py() or ""
+                if texts and size + len(t) > most:
+                    own.append(b.slice(lo, i - lo).select(list(keep)))
+                    yield pa.Table.from_batches(own), texts
+                    own, texts, size, lo = [], [], 0, i
+                texts.append(t)
+                size += len(t)
+            own.append(b.slice(lo).select(list(keep)))
+        if texts:
+            yield pa.Table.from_batches(own), texts
+
+    return frame.mapInArrow(run, schema)
 
 
 def spread(flat: np.ndarray, at: np.ndarray, which: np.ndarray) -> np.ndarray:

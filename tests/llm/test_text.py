@@ -27,15 +27,14 @@ def test_bpe_equals_the_library(spark):
     assert queries.digests(docs.limit(0), PATH, public_tokenizers.PATTERN).count() == 0
 
 
-def test_heap_merges_equal_the_fold(spark):
+def test_heap_merges_equal_the_library():
     table = bpe.ranks(PATH)
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
     rng = random.Random(2)
     for _ in range(100):
         word = "".join(rng.choice("abcdeé") for _ in range(rng.randrange(1, 80)))
         ids = bpe.merged_long(word.encode(), table)
-        assert ids == enc.encode_single_token(word) if isinstance(ids, int) else ids == enc.encode_ordinary(word)
-    assert all(bpe.bucket(s, 8192) == x for s, x in ((r["s"], r["x"]) for r in spark.sql("select s, pmod(hash(s), 8192) x from values ('a'), ('é'), ('longer word'), ('日本') t(s)").collect()))
+        assert ids == enc.encode_ordinary(word)
 
 
 def brute_license(text):
