@@ -160,9 +160,9 @@ def string_functions(spark, sf_dir):
     c = F.col("c_name")
     made = {
         "code": strings.ascii_code(c, 3), "code_beyond": strings.ascii_code(c, 99), "chars": strings.char(77, 120), "extracted": strings.extract(c, 2, 4), "extracted_one": strings.extract(c),
-        "found": strings.find(c, "#"), "justified": strings.justify(F.col("c_custkey"), 12), "justified_number": strings.justify(F.col("c_acctbal"), 14, 2), "len": strings.length(c),
-        "n_pieces": strings.length(c, "0"), "first_piece": strings.piece(c, "#"), "second_piece": strings.piece(c, "#", 2), "both_pieces": strings.piece(c, "#", 1, 2), "reversed": strings.reverse(c),
-        "translated": strings.translate(c, "Cu0", "Kv"), "raised": strings.convert(c, "U"), "lowered": strings.convert(c, "L"), "bytes": strings.width(c), "stripped": strings.strip(c, "<", "Cu"),
+        "found": strings.find(c, "#").cast("bigint"), "justified": strings.justify(F.col("c_custkey"), 12), "justified_number": strings.justify(F.col("c_acctbal"), 14, 2), "len": strings.length(c).cast("bigint"),
+        "n_pieces": strings.length(c, "0").cast("bigint"), "first_piece": strings.piece(c, "#"), "second_piece": strings.piece(c, "#", 2), "both_pieces": strings.piece(c, "#", 1, 2), "reversed": strings.reverse(c),
+        "translated": strings.translate(c, "Cu0", "Kv"), "raised": strings.convert(c, "U"), "lowered": strings.convert(c, "L"), "bytes": strings.width(c).cast("bigint"), "stripped": strings.strip(c, "<", "Cu"),
         "sub": strings.substr(c, 3, 4), "set_second": strings.set_piece(c, "#", 2, F.lit("X")), "set_fourth": strings.set_piece(c, "#", 4, F.lit("Y")), "set_chars": strings.set_extract(c, 2, F.lit("--"), 3),
     }
     return t.select("c_custkey", *[x.alias(k) for k, x in made.items()])
@@ -185,7 +185,7 @@ SELECT page_id, len(string_split(url, '/')) AS n_pieces, split_part(url, '/', 3)
 """)
 def string_pieces(spark, sf_dir):
     u = F.col("url")
-    return table(spark, sf_dir, "pages").select("page_id", strings.length(u, "/").alias("n_pieces"), strings.piece(u, "/", 3).alias("host"), strings.piece(u, "/", 4, 5).alias("path"))
+    return table(spark, sf_dir, "pages").select("page_id", strings.length(u, "/").cast("bigint").alias("n_pieces"), strings.piece(u, "/", 3).alias("host"), strings.piece(u, "/", 4, 5).alias("path"))
 
 
 @query("""
@@ -207,7 +207,7 @@ def unicode_functions(spark, sf_dir):
     c = F.col("text")
     t = table(spark, sf_dir, "documents").filter("text is not null and text <> ''")
     made = {
-        "points": unicode.count(c), "first_bytes": unicode.char_bytes(c), "part": unicode.slice_of(c, 5, 10), "reversed": unicode.reverse(c), "raised": unicode.upper(c),
+        "points": unicode.count(c).cast("bigint"), "first_bytes": unicode.char_bytes(c).cast("bigint"), "part": unicode.slice_of(c, 5, 10), "reversed": unicode.reverse(c), "raised": unicode.upper(c),
         "alpha": unicode.is_alpha(strings.piece(c, " ", 2)), "digit": unicode.is_digit(F.substring(c, 1, 1)), "point": unicode.code_point(c, 2), "again": unicode.from_code_point(unicode.code_point(c, 0)),
     }
     return t.select("doc_id", *[x.alias(k) for k, x in made.items()])
@@ -229,7 +229,7 @@ def math_functions(spark, sf_dir):
         "absolute": maths.zabs(operators.minus(q)), "arccos": maths.arccos(d), "arcsin": maths.arcsin(d), "arctan": maths.arctan(q), "cos": maths.cos(q), "exp": maths.exp(d), "ln": maths.ln(q),
         "power": maths.power(q, F.lit("1.5")), "sin": maths.sin(q), "sqrt": maths.sqrt(q), "tan": maths.tan(d),
     }
-    return t.select("l_orderkey", "l_linenumber", *[number(c).alias(k) for k, c in made.items()], maths.bit(q, 2).alias("bit2"))
+    return t.select("l_orderkey", "l_linenumber", *[number(c).alias(k) for k, c in made.items()], maths.bit(q, 2).cast("bigint").alias("bit2"))
 
 
 @query("""
