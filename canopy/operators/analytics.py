@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 TWO32 = 4294967296
 
 
@@ -176,31 +177,22 @@ def bfs(edges: DataFrame, start: list, most_levels: int = 64) -> DataFrame:
     front = known
     for level in range(1, most_levels + 1):
         step = front.join(edges, front.node == edges.src).select(F.col("dst").alias("node")).distinct()
-        front = _cut(step.join(known, "node", "left_anti").withColumn("level", F.lit(level)))
+        front = cut(step.join(known, "node", "left_anti").withColumn("level", F.lit(level)))
         if front.isEmpty():
             break
         known = known.unionByName(front)
     return known
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """df behind a reliable checkpoint, so that lineage stays short and lost executors cost nothing."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        # only where the cluster names no spark.checkpoint.dir, as in tests
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="canopy-"))
-    return df.checkpoint()
-
-
 def connected(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     """node and component (its smallest node), by taking the neighbourhood's smallest label and following labels twice as far each round."""
     both = graph_edges(edges.withColumn("weight", F.lit(1.0)), directed=False).select("src", "dst")
-    labels = _cut(both.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node")))
+    labels = cut(both.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node")))
     for _ in range(most_rounds):
         near = both.join(labels, both.dst == labels.node).groupBy("src").agg(F.min("label").alias("m"))
         low = labels.join(near, labels.node == near.src, "left").select("node", "label", F.least("label", F.coalesce("m", "label")).alias("to"))
         far = low.select(F.col("node").alias("to"), F.col("to").alias("further"))
-        now = _cut(low.join(far, "to", "left").select("node", "label", F.least("to", F.coalesce("further", "to")).alias("new")))
+        now = cut(low.join(far, "to", "left").select("node", "label", F.least("to", F.coalesce("further", "to")).alias("new")))
         changed = now.filter("label <> new").limit(1).count()
         labels = now.select("node", F.col("new").alias("label"))
         if not changed:

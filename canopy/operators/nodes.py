@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.strings import reference
-from ..functions.values import collation, collation_key, text
+from ..functions.values import collation, collation_key, number_text, text
+from .lineage import cut
 
 SCHEMA = "name string, subs array<string>, value string"
 
@@ -146,6 +147,21 @@ def walk(nodes: DataFrame) -> DataFrame:
     return shown.withColumns({"next": F.coalesce(F.lead("ref").over(by), F.lit("")), "previous": F.coalesce(F.lag("ref").over(by), F.lit(""))})
 
 
+def walk_spread(nodes: DataFrame) -> DataFrame:
+    """As walk, for trees too large for one task: ranges of the order are walked apart, and the ends of each range meet
+    the next one's through a table of one row for each range and tree."""
+    shown = nodes.withColumn("ref", reference(F.col("name"), F.col("subs"))).withColumn("__key", collation_key(F.col("subs")))
+    # fixed behind the checkpoint: the ranges come from a sample
+    placed = cut(shown.repartitionByRange("name", "__key").withColumn("__range", F.spark_partition_id()))
+    by, across = Window.partitionBy("name", "__range").orderBy("__key"), Window.partitionBy("name").orderBy("__range")
+    ends = placed.groupBy("name", "__range").agg(F.min_by("ref", "__key").alias("first"), F.max_by("ref", "__key").alias("last"))
+    ends = ends.select("name", "__range", F.lead("first").over(across).alias("__after"), F.lag("last").over(across).alias("__before"))
+    met = placed.join(ends, ["name", "__range"])
+    none = F.lit("")
+    out = met.withColumns({"next": F.coalesce(F.lead("ref").over(by), "__after", none), "previous": F.coalesce(F.lag("ref").over(by), "__before", none)})
+    return out.select(*nodes.columns, "ref", "next", "previous")
+
+
 def dump(nodes: DataFrame) -> DataFrame:
     """Lines ref="value" in order of trees and nodes."""
     line = F.concat(reference(F.col("name"), F.col("subs")), F.lit('="'), F.regexp_replace("value", '"', '""'), F.lit('"'))
@@ -155,8 +171,6 @@ def dump(nodes: DataFrame) -> DataFrame:
 def tally(df: DataFrame, name: str, subs: list[Column], value: Column) -> DataFrame:
     """The counting idiom: for each path the sum of a number, as nodes."""
     keys = [text(s).alias(f"k{i}") for i, s in enumerate(subs)]
-    from ..functions.values import number_text
-
     grouped = df.select(*keys, value.alias("v")).groupBy(*[f"k{i}" for i in range(len(subs))]).agg(F.sum("v").cast("double").alias("v"))
     return of_table(grouped, name, [F.col(f"k{i}") for i in range(len(subs))], number_text(F.col("v")))
 

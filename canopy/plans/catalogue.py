@@ -317,6 +317,14 @@ def node_query(spark, sf_dir):
     return nodes.walk(tree(spark, sf_dir)).select("ref", "next", "previous")
 
 
+@query("""
+WITH t AS (SELECT *, '^G(' || r || ',' || n || ',' || c || ',' || o || ')' AS ref FROM (""" + _TREE + """))
+SELECT ref, coalesce(lead(ref) OVER (ORDER BY r, n, c, o), '') AS next, coalesce(lag(ref) OVER (ORDER BY r, n, c, o), '') AS previous FROM t
+""")
+def node_query_spread(spark, sf_dir):
+    return nodes.walk_spread(tree(spark, sf_dir)).select("ref", "next", "previous")
+
+
 @query("SELECT c || '/' || o AS path, v AS value FROM (" + _TREE + ") WHERE r = 1 AND n = 1")
 def node_descendants(spark, sf_dir):
     return nodes.descendants(tree(spark, sf_dir), "^G", "1", "1").select(F.array_join("subs", "/").alias("path"), "value")

@@ -27,6 +27,7 @@ def test_walks(spark, tree):
     assert by == {"2": ("10", ""), "10": ("30", "2"), "30": ("A", "10"), "A": ("", "30")}
     walk = {r["ref"]: r["next"] for r in nodes.walk(tree).filter("name = '^Q'").collect()}
     assert walk == {"^Q(1)": "^Q(1,2)", "^Q(1,2)": '^Q(3,"z","w")', '^Q(3,"z","w")': ""}
+    assert rows(nodes.walk_spread(tree), "ref", "next", "previous") == rows(nodes.walk(tree), "ref", "next", "previous")
     data = rows(nodes.with_interior(tree).filter("name = '^Q'").select(F.array_join("subs", "/").alias("p"), "data"), "p", "data")
     assert data == [("", 10), ("1", 11), ("1/2", 1), ("3", 10), ("3/z", 10), ("3/z/w", 1)]
     asked = spark.createDataFrame([("^C", [], "10"), ("^C", [], ""), ("^C", [], "15"), ("^C", [], "A"), ("^Q", ["3"], "a"), ("^N", [], "1")], "name string, parent array<string>, sub string")
