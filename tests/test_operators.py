@@ -166,6 +166,23 @@ def test_loaders(spark, tmp_path):
     assert rows(loaders.lines(spark, str(tmp_path / "out")), "line") == [("r",), ("v",)]
 
 
+def test_thesaurus(spark, tmp_path):
+    files = {
+        "eric_thesaurus.txt": "TERM|NOTE\nLearning|x\nTeaching|y",
+        "eric_thesaurus_bt.txt": "TERM|BT\nTeaching|Education",
+        "eric_thesaurus_rt.txt": "TERM|RT\nLearning|Teaching",
+        "eric_thesaurus_synonyms.txt": "SYN|TERM\nStudy|Learning",
+        "eric_citations.txt": "DOC|REST\nE1|title",
+        "eric_citation_subjects.txt": "DOC|TERM\nE1|Learning\nE1|Teaching",
+    }
+    for name, body in files.items():
+        (tmp_path / name).write_text(body + "\n")
+    t = loaders.thesaurus(spark, str(tmp_path))
+    assert rows(t["terms"], "term") == [("Learning",), ("Teaching",)] and rows(t["broader"], "term", "broader") == [("Teaching", "Education")]
+    assert rows(t["related"], "term", "related") == [("Learning", "Teaching")] and rows(t["synonyms"], "synonym", "term") == [("Study", "Learning")]
+    assert rows(t["term_citations"], "term", "document") == [("Learning", "E1"), ("Teaching", "E1")] and rows(t["citations"], "document", "rest") == [("E1", "title")]
+
+
 def test_lint(spark):
     source = "MAIN ; start\n SET A=1\n SET B=2 WRITE B\n WRITE B\n DO SUB\n DO NONE\n QUIT\n WRITE 1\nSUB WRITE 2\n QUIT"
     found = rows(lint.report(lint.lines_of(spark, "R", source)), "code", "line_no")
