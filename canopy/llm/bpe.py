@@ -22,14 +22,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_batches
+
 #: White space as the tokenizer's own regular expressions have it.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: UTF-8 bytes of text in a chunk, unless one document has more.
-CHUNK = 16 << 20
+CHUNK = 8 << 20
 #: Ids that are laid out at once.
 SLICE = 1 << 20
-#: Documents in a batch; longer words than LONG bytes go through a heap instead of a list.
-ROWS, LONG = 1000, 256
+#: Longer words than this go through a heap instead of a list.
+LONG = 256
 #: The rank of two pieces that don't make a token.
 NO_RANK = 1 << 40
 
@@ -95,14 +97,16 @@ def merged_long(word: bytes, table: dict[bytes, int]) -> list[int]:
     return [table[word[i : after[i]]] for i in range(n) if alive[i]]
 
 
-def encoded(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text", chunk: int = CHUNK) -> DataFrame:
+def encoded(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text", chunk: int = CHUNK, back: bool = False) -> DataFrame:
     """The columns of ``keep`` and ``tokens``: the ids of every whole text, as packed little-endian 32-bit numbers.
 
-    A null or empty text has no tokens. Rows stay as they are, repeated or not.
+    With ``back`` also ``decoded``: the bytes that the ids stand for, decoded where they were made. A null or empty text
+    has no tokens. Rows stay as they are, repeated or not.
     """
     find, find_ascii, table = word_pattern(pattern).findall, ascii_pattern(pattern).findall, ranks(path)
+    pieces = Pieces(table) if back else None
     frame = docs.select(*[F.col(c) for c in keep], F.col(text).alias("__text"))
-    schema = frame.drop("__text").withColumn("tokens", F.lit(b"")).schema
+    schema = frame.drop("__text").withColumns({"tokens": F.lit(b""), "decoded": F.lit(b"")} if back else {"tokens": F.lit(b"")}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in _chunks(batches, chunk):
@@ -119,10 +123,13 @@ def encoded(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("
                 ids.extend((one,) if one is not None else merged(raw, table) if len(raw) <= LONG else merged_long(raw, table))
                 ends.append(len(ids))
             flat, at = np.frombuffer(ids, "<u4") if ids else np.zeros(0, "<u4"), np.frombuffer(ends, np.int64)
-            for lo in range(0, len(codes), ROWS):
-                tokens = [spread(flat, at, c).tobytes() for c in codes[lo : lo + ROWS]]
-                some = rows.slice(lo, ROWS).combine_chunks().to_batches()[0]
-                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in keep), pa.array(tokens, pa.binary())], names=[*keep, "tokens"])
+            for lo, hi in _spans([4 * len(c) for c in codes]):
+                tokens = [spread(flat, at, c) for c in codes[lo:hi]]
+                cols = [pa.array([t.tobytes() for t in tokens], pa.binary())]
+                if back:
+                    cols.append(pa.array([pieces.of(t) for t in tokens], pa.binary()))
+                some = rows.slice(lo, hi - lo).combine_chunks().to_batches()[0]
+                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in keep), *cols], names=schema.names)
 
     def _chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.Table, list[str]]]:
         own, texts, size = [], [], 0
@@ -140,7 +147,34 @@ def encoded(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("
         if texts:
             yield pa.Table.from_batches(own), texts
 
-    return frame.mapInArrow(run, schema)
+    return in_batches(frame).mapInArrow(run, schema)
+
+
+def _spans(sizes: list[int], most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of documents whose sizes together stay below most, or of one larger one."""
+    at = total = 0
+    for i, n in enumerate(sizes):
+        if i > at and total + n > most:
+            yield at, i
+            at = i
+            total = 0
+        total += n
+    yield at, len(sizes)
+
+
+class Pieces:
+    """The binary pieces of ids, one behind the other."""
+
+    def __init__(self, table: dict[bytes, int]):
+        pieces = [b""] * (max(table.values()) + 1)
+        for raw, i in table.items():
+            pieces[i] = raw
+        self.flat = np.frombuffer(b"".join(pieces), dtype=np.uint8)
+        self.at = np.concatenate([[0], np.cumsum([len(p) for p in pieces])])
+
+    def of(self, ids: np.ndarray) -> bytes:
+        """The concatenated pieces of ids."""
+        return spread(self.flat, self.at, ids).tobytes()
 
 
 def spread(flat: np.ndarray, at: np.ndarray, which: np.ndarray) -> np.ndarray:
@@ -157,18 +191,12 @@ def spread(flat: np.ndarray, at: np.ndarray, which: np.ndarray) -> np.ndarray:
 
 def decoded(frame: DataFrame, path: str, keep: tuple[str, ...], tokens: str = "tokens") -> DataFrame:
     """The columns of ``keep`` and ``decoded``: the bytes that the packed ids of ``tokens`` stand for."""
-    table = ranks(path)
-    size = max(table.values()) + 1
-    pieces = [b""] * size
-    for raw, i in table.items():
-        pieces[i] = raw
+    pieces = Pieces(ranks(path))
     schema = frame.select(*keep, F.lit(b"").alias("decoded")).schema
-    flat = np.frombuffer(b"".join(pieces), dtype=np.uint8)
-    at = np.concatenate([[0], np.cumsum([len(p) for p in pieces])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [None if x is None else spread(flat, at, np.frombuffer(x, dtype="<u4")).tobytes() for x in b.column(tokens).to_pylist()]
+            out = [None if x is None else pieces.of(np.frombuffer(x, dtype="<u4")) for x in b.column(tokens).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(out, pa.binary())], names=[*keep, "decoded"])
 
-    return frame.select(*dict.fromkeys([*keep, tokens])).mapInArrow(run, schema)
+    return in_batches(frame.select(*dict.fromkeys([*keep, tokens]))).mapInArrow(run, schema)

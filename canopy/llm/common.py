@@ -31,3 +31,13 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/canopy-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Bytes of an Arrow batch of documents; a longer document is a batch by itself.
+BATCH_BYTES = 8 << 20
+
+
+def in_batches(df: DataFrame) -> DataFrame:
+    """df, to be sent to Python workers in batches of bounded bytes, whatever the lengths of texts."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
+from .common import in_batches
 
 #: Shingle width and least containment.
 WIDTH, LEAST = 5, 0.8
@@ -163,7 +164,7 @@ def contained(docs: DataFrame, items: DataFrame, width: int = WIDTH, least: floa
     schema = "doc_id long, item_id long, item_ids array<long>, n_shingles long, n_found long, containment double"
     frame = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text"))
-    parts = [frame.mapInArrow(_scan(found, least), schema) for found in blocks_of(rows, width, least)]
+    parts = [in_batches(frame).mapInArrow(_scan(found, least), schema) for found in blocks_of(rows, width, least)]
     if not parts:
         return docs.sparkSession.createDataFrame([], schema)
     return reduce(DataFrame.unionByName, parts)
@@ -184,7 +185,7 @@ def without(docs: DataFrame, items: DataFrame, width: int = WIDTH, least: float
     """The rows of docs that contain no item, with all their columns."""
     rows = items.select(F.lit(None).cast("long").alias("item_id"), F.col(item_text).alias("text"))
     for found in blocks_of(rows, width, least):
-        docs = docs.mapInArrow(_drop(found, least, text), docs.schema)
+        docs = in_batches(docs).mapInArrow(_drop(found, least, text), docs.schema)
     return docs
 
 

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_batches
+
 #: Bytes in a window; widths of filters; filters of each width; embedding size.
 WINDOW, WIDTHS, FILTERS, EMBEDDING = 256, (2, 3, 4), 16, 8
 #: Bounds of the training sample: texts of one language, languages, and windows of one text.
@@ -185,4 +187,4 @@ def identified(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("d
             cols = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *cols], names=[*keep, "lang_pred", "score"])
 
-    return frame.mapInArrow(run, schema)
+    return in_batches(frame).mapInArrow(run, schema)

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
+from .common import in_batches
 
 #: Bounds of the samples of trusted positives and of unlabelled documents.
 MOST_POSITIVE, MOST_UNLABELLED = 4000, 8000
@@ -184,7 +185,7 @@ def featured(docs: DataFrame, keep: tuple[str, ...], text: str = "text") -> Data
             out = [features(t.as_py()).astype("<f8").tobytes() for t in b.column("__text")]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(out, pa.binary())], names=[*keep, "features"])
 
-    return frame.mapInArrow(run, schema)
+    return in_batches(frame).mapInArrow(run, schema)
 
 
 def scored(docs: DataFrame, model: Model | None, text: str = "text", score: str = "score") -> DataFrame:
@@ -198,4 +199,4 @@ def scored(docs: DataFrame, model: Model | None, text: str = "text", score: str
             s = model.scores(x) if model else np.full(len(x), 0.5)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], names=[*names, score])
 
-    return docs.mapInArrow(run, schema)
+    return in_batches(docs).mapInArrow(run, schema)

@@ -23,8 +23,7 @@ def query(f):
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of documents, encoded and then decoded from their ids."""
-    encoded = bpe.encoded(docs, path, pattern)
-    both = bpe.decoded(encoded, path, ("doc_id", "tokens"))
+    both = bpe.encoded(docs, path, pattern, back=True)
     return both.select(
         "doc_id",
         F.floor(F.octet_length("tokens") / 4).cast("long").alias("n_tokens"),

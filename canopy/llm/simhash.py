@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import in_batches, stored
 
 SEED = 42
 FANOUT = 8
@@ -72,10 +72,10 @@ def fingerprints(docs: DataFrame, width: int = 3, text: str = "text", keep: tupl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([simhash(t, width) for t in b.column("__text").to_pylist()], dtype=np.uint64).view(np.int64)
+            fps = np.array([simhash(t.as_py(), width) for t in b.column("__text")], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(fps, pa.int64())], names=[*keep, "fp"])
 
-    return frame.mapInArrow(run, schema)
+    return in_batches(frame).mapInArrow(run, schema)
 
 
 def rotated(fp: np.ndarray, by: int) -> np.ndarray:
