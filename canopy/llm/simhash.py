@@ -12,7 +12,10 @@ one parent whose mask holds the bits that they all share; a node keeps only shar
 differences add up on the way down and a whole run goes as soon as they pass a budget.
 
 A task returns a spanning forest of the links it found, never all pairs; stars contract the forests to components.
-Where a similarity is asked for besides, the forest's links are verified on whole texts before that.
+
+Where a Jaccard similarity is asked for, fingerprints don't serve: at 0.8 two of them differ in about 10 bits. There
+documents with equal sets of shingles are one node, MinHash bands give buckets, and whole texts are compared before
+anything is contracted.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import in_batches, stored
@@ -37,8 +40,14 @@ FRONTIER = 2_000_000
 #: Shingles of one document that are hashed at once.
 SLICE = 1 << 16
 
+#: MinHash bands and minima in each: a pair at 0.8 shares no band once in 17,000 times.
+BANDS, BAND = 32, 6
+#: Bands of the first round of pairs, which joins most copies; growth of places apart from round to round.
+FIRST, STRIDE = 4, 16
+
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
+_FLIP, _MIX = (np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * BAND), np.uint64) | np.array([[0], [1]], np.uint64))
 
 
 def simhash(text: str | None, width: int = 3) -> int:
@@ -324,49 +333,124 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def alike(edges: DataFrame, rows: DataFrame, docs: DataFrame, width: int, least: float) -> DataFrame:
-    """The links (u, v) between fingerprints whose documents' shingle sets have a Jaccard similarity of at least least.
+def shingles(text: str | None, width: int) -> set[bytes]:
+    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    return {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
 
-    A fingerprint stands for its row of smallest doc_id; its whole text is compared.
-    """
-    used = edges.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
-    first = rows.join(used, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("doc_id", "text_key")).alias("r")).select("fp", "r.*")
-    own = docs.select(F.col("doc_id").alias("d"), text_key(F.col("text")).alias("k"), "text")
-    texts = own.join(first, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("k") == F.col("text_key"))).dropDuplicates(["fp"]).select("fp", "text")
-    pairs = edges.join(texts.toDF("u", "a"), "u").join(texts.toDF("v", "b"), "v")
+
+def jaccard(a: str | None, b: str | None, width: int) -> float:
+    x, y = shingles(a, width), shingles(b, width)
+    return len(x & y) / len(x | y)
+
+
+def signature(hashes: np.ndarray) -> list[int]:
+    """One key for each band: a hash of its minima over all shingle hashes, signed."""
+    least = np.full(BANDS * BAND, _ALL)
+    for at in range(0, len(hashes), 2048):
+        least = np.minimum(least, ((hashes[None, at : at + 2048] ^ _FLIP[:, None]) * _MIX[:, None]).min(axis=1))
+    keys = [xxhash.xxh64_intdigest(m.tobytes(), k) for k, m in enumerate(least.reshape(BANDS, BAND))]
+    return np.array(keys, np.uint64).view(np.int64).tolist()
+
+
+def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, text_key, node (a hash of the set of shingles), n (its size) and bands of every row of docs."""
+    frame = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), "text")
+    schema = frame.drop("text").withColumns({"node": F.lit(0).cast("long"), "n": F.lit(0).cast("long"), "bands": F.array(F.lit(0).cast("long"))}).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            nodes, sizes, bands = [], [], []
+            for t in b.column("text"):
+                h = np.unique(np.array([xxhash.xxh64_intdigest(x, SEED) for x in shingles(t.as_py(), width)], np.uint64))
+                nodes.append(xxhash.xxh64_intdigest(h.tobytes(), SEED))
+                sizes.append(len(h))
+                bands.append(signature(h))
+            cols = [b.column("doc_id"), b.column("text_key"), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text_key", "node", "n", "bands"])
+
+    return in_batches(frame).mapInArrow(run, schema)
+
+
+def bucket_pairs(buckets: DataFrame, low: int, high: int, least: float) -> DataFrame:
+    """(u, v): nodes of one bucket (key, node, n, root), low to high - 1 places apart in it, whose roots differ and whose sizes allow a similarity of least."""
+    if high == low + 1 == 2:
+        by = Window.partitionBy("key").orderBy("node")
+        near = buckets.select("node", "n", "root", *[F.lag(c).over(by).alias(f"b_{c}") for c in ("node", "n", "root")])
+        sizes = F.least("n", "b_n") >= least * F.greatest("n", "b_n") - 1e-9
+        return near.filter((F.col("root") != F.col("b_root")) & sizes).select(F.col("node").alias("u"), F.col("b_node").alias("v"))
+
+    def meet(table: pa.Table) -> pa.Table:
+        node, n, root = (table.column(c).to_numpy() for c in ("node", "n", "root"))
+        order = np.argsort(node)
+        node, n, root = node[order], n[order], root[order]
+        us, vs = [node[:0]], [node[:0]]
+        for d in range(low, min(high, len(node))):
+            x, y = slice(d, None), slice(None, -d)
+            some = (root[x] != root[y]) & (np.minimum(n[x], n[y]) >= least * np.maximum(n[x], n[y]) - 1e-9)
+            us.append(node[x][some])
+            vs.append(node[y][some])
+        return pa.table({"u": np.concatenate(us), "v": np.concatenate(vs)})
+
+    return buckets.groupBy("key").applyInArrow(meet, "u long, v long")
+
+
+def alike(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
+    """The pairs (u, v) of nodes whose texts' shingle sets have a Jaccard similarity of at least least."""
+    both = pairs.join(texts.toDF("u", "a"), "u").join(texts.toDF("v", "b"), "v").select("u", "v", "a", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             same = [jaccard(x.as_py(), y.as_py(), width) >= least for x, y in zip(b.column("a"), b.column("b"), strict=True)]
             yield b.select(["u", "v"]).filter(pa.array(same, pa.bool_()))
 
-    return pairs.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
-
+    return in_batches(both).mapInArrow(run, "u long, v long")
 
-def shingles(text: str | None, width: int) -> set[bytes]:
-    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
-    return {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
 
+def similar_sets(sets: DataFrame, docs: DataFrame, width: int, least: float) -> DataFrame | None:
+    """(node, root) of all nodes that links of a similarity of at least least join to others; None if there are none.
 
-def jaccard(a: str | None, b: str | None, width: int) -> float:
-    x, y = shingles(a, width), shingles(b, width)
-    return len(x & y) / len(x | y)
+    sets has node, n, bands and r, the (none, doc_id, text_key) of a row with that set. Every pair of a bucket is
+    verified unless verified links join it already. Nearer places in a bucket come first, so that one large group of
+    copies needs as many pairs as it has members.
+    """
+    members = sets.select("node", "n", F.posexplode("bands").alias("band", "key"))
+    shared = members.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select("key")
+    members = stored(members.join(shared, "key", "left_semi"))
+    used = members.select("node").distinct().join(sets, "node").select("node", F.col("r.doc_id").alias("d"), F.col("r.text_key").alias("k"))
+    own = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), "text")
+    texts = stored(own.join(used, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k"))).dropDuplicates(["node"]).select("node", "text"))
+    good = tried = found = None
+    low, high, some = 1, 2, members.filter(F.col("band") < FIRST)
+    while True:
+        now = some.select("key", "node", "n")
+        now = now.join(found, "node", "left").withColumn("root", F.coalesce("root", "node")) if found else now.withColumn("root", F.col("node"))
+        split = now.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("m")).filter((F.col("a") < F.col("b")) & (F.col("m") > low))
+        if some is members and not split.limit(1).count():
+            return found
+        pairs = _ordered(bucket_pairs(now.join(split.select("key"), "key", "left_semi"), low, high, least))
+        pairs = stored(pairs.join(tried, ["u", "v"], "left_anti") if tried else pairs)
+        tried = tried.unionByName(pairs) if tried else pairs
+        passed = stored(alike(pairs, texts, width, least))
+        if passed.limit(1).count():
+            good = good.unionByName(passed) if good else passed
+            found = stored(components(good))
+        if some is not members:
+            some = members
+        else:
+            low, high = high, high * STRIDE
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 3, parts: int = 2, least: float | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 3, parts: int = 2) -> DataFrame:
     """doc_id, text_key (a hash of the text), fp, root (a fingerprint that names the component) and component_id (the
     smallest doc_id reachable over links) of every row of docs (doc_id, text, and others).
 
-    With ``least``, links between different fingerprints must also have that Jaccard similarity. Rows with a null
-    doc_id are linked like others; where a component has no other rows its id is null. Repeated rows stay repeated.
-    An empty table gives an empty result.
+    Rows with a null doc_id are linked like others; where a component has no other rows its id is null. Repeated rows
+    stay repeated. An empty table gives an empty result.
     """
     own = docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key"))
     rows = stored(fingerprints(own, width, keep=("doc_id", "text_key")))
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     edges = links(stored(nodes.select("fp")), distance, parts)
-    if least is not None:
-        edges = alike(stored(_ordered(edges)), rows, docs, width, least)
     found = components(edges)
     linked = nodes.join(found, nodes.fp == found.node, "left")
     of_fp = linked.select("fp", F.coalesce("root", "fp").alias("root"), "first_id")
@@ -376,10 +460,14 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 3, parts: i
     return rows.join(named, "fp").select("doc_id", "text_key", "fp", "root", "component_id")
 
 
-def deduplicated(docs: DataFrame, width: int = 5, distance: int = 7, parts: int = 4, least: float = 0.8) -> DataFrame:
-    """docs with one row of each component: that of smallest doc_id (null ids last), then of smallest text hash."""
-    found = near_duplicates(docs, width, distance, parts, least)
-    kept = stored(found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("r")).select("r.doc_id", "r.text_key"))
+def deduplicated(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
+    """docs with one row of each component of links of Jaccard similarity least: that of smallest doc_id (null ids last), then of smallest text hash."""
+    rows = stored(shingle_sets(docs, width))
+    one = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    sets = stored(rows.groupBy("node").agg(F.min(one).alias("r"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    found = similar_sets(sets, docs, width, least)
+    rooted = sets.select("node", "r").join(found, "node", "left").select(F.coalesce("root", "node").alias("root"), "r") if found else sets.select(F.col("node").alias("root"), "r")
+    kept = stored(rooted.groupBy("root").agg(F.min("r").alias("r")).select("r.doc_id", "r.text_key"))
     out = docs.join(kept.toDF("__id", "__key"), F.col("doc_id").eqNullSafe(F.col("__id")) & (text_key(F.col("text")) == F.col("__key")), "left_semi")
     repeated = docs.select("doc_id", text_key(F.col("text")).alias("k")).groupBy("doc_id", "k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count()
     return out.dropDuplicates(["doc_id", "text"]) if repeated else out

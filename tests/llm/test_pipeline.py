@@ -40,3 +40,40 @@ def test_stages(spark):
     empty = spark.read.parquet(f"{sf}/documents.parquet").filter(F.lit(False))
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf).count() == 0
+
+
+def copies_of(seed, families, versions, changes, drift):
+    """Texts of 250 words in families: each version changes words of the first one, or (drift) of the one before."""
+    rng = np.random.default_rng(seed)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 7))
+    texts = []
+    for _ in range(families):
+        first = last = [word() for _ in range(250)]
+        texts.append(" ".join(first))
+        for _ in range(versions):
+            last = list(last if drift else first)
+            for at in rng.choice(250, rng.integers(*changes), replace=False):
+                last[at] = word()
+            texts.append(" ".join(last))
+    return texts
+
+
+def brute_kept(texts):
+    """Places that stay, and how many pairs have a similarity of 0.8."""
+    sets = [simhash.shingles(t, 5) for t in texts]
+    label, links = list(range(len(texts))), 0
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                links += 1
+                a, b = sorted((label[i], label[j]))
+                label = [a if x == b else x for x in label]
+    return sorted(set(label)), links
+
+
+def test_near_dedup_finds_similarities_just_over_the_bound(spark):
+    texts = copies_of(11, 60, 1, (3, 6), False)
+    want, links = brute_kept(texts)
+    assert links > 40
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.deduplicated(docs).collect()) == want
