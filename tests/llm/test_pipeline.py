@@ -77,3 +77,11 @@ def test_near_dedup_finds_similarities_just_over_the_bound(spark):
     assert links > 40
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(r["doc_id"] for r in simhash.deduplicated(docs).collect()) == want
+
+
+def test_near_dedup_is_not_misled_by_failing_links(spark):
+    texts = copies_of(12, 12, 12, (3, 7), True)
+    want, links = brute_kept(texts)
+    assert links > 100 and len(want) > 12
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.deduplicated(docs).collect()) == want
