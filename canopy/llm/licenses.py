@@ -44,8 +44,6 @@ FREEDOM = {
     "mpl-2": 0.7, "lgpl": 0.6, "cc-by-sa": 0.6, "gpl-2": 0.4, "gpl-3": 0.4, "agpl": 0.3, "cc-by-nc": 0.2, "cc-by-nc-sa": 0.2, "all-rights-reserved": 0.0,
 }
 UNKNOWN = 0.5
-#: Longest expression behind a tag, in tokens, that is read.
-MOST_TOKENS = 64
 
 _KEEP = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 _TAG = re.compile(r"(?i:(?:SPDX[-_ ]?)?License[-_ ]Identifier)\s*:[ \t]*([^\r\n]*)")
@@ -61,37 +59,42 @@ def label(name: str) -> str:
 
 
 def postfix(tokens: list[str]) -> list[str] | None:
-    """Tokens in postfix order (shunting-yard); None if they aren't an expression."""
-    out, stack, operand = [], [], True
+    """The longest run of tokens, from the first, that is an expression, in postfix order (shunting-yard); None if there is none.
+
+    An expression is complete after an operand or ")" with no "(" open; what the stack holds then ends its postfix order.
+    """
+    out, stack, operand, depth = [], [], True, 0
+    size, rest = 0, []
     for t in tokens:
         low = t.lower()
         if t == "(":
             if not operand:
-                return None
+                break
             stack.append(t)
+            depth += 1
         elif t == ")":
-            if operand:
-                return None
-            while stack and stack[-1] != "(":
+            if operand or not depth:
+                break
+            while stack[-1] != "(":
                 out.append(stack.pop())
-            if not stack:
-                return None
             stack.pop()
+            depth -= 1
         elif low in _RANK:
             if operand:
-                return None
+                break
             while stack and stack[-1] != "(" and _RANK[stack[-1]] >= _RANK[low]:
                 out.append(stack.pop())
             stack.append(low)
             operand = True
         else:
             if not operand:
-                return None
+                break
             out.append(t)
             operand = False
-    if operand or "(" in stack:
-        return None
-    return out + stack[::-1]
+        if not operand and not depth:
+            # without "(" the stack holds operators of rising rank: three at most
+            size, rest = len(out), stack[::-1]
+    return out[:size] + rest if size else None
 
 
 def parsed(expression: str) -> tuple[frozenset[str], float] | None:
@@ -100,23 +103,24 @@ def parsed(expression: str) -> tuple[frozenset[str], float] | None:
     AND keeps both sides and the lesser freedom; OR leaves a choice: all labels, the greater freedom; WITH grants an
     exception to its left side, whose labels stay.
     """
-    tokens = _TOKEN.findall(expression)[:MOST_TOKENS]
-    for n in range(len(tokens), 0, -1):
-        if order := postfix(tokens[:n]):
-            return _evaluated(order)
-    return None
+    order = postfix(_TOKEN.findall(expression))
+    return _evaluated(order) if order else None
 
 
 def _evaluated(order: list[str]) -> tuple[frozenset[str], float]:
-    stack: list[tuple[frozenset[str], float]] = []
+    stack: list[tuple[set[str], float]] = []
     for t in order:
         if t in _RANK:
             b, a = stack.pop(), stack.pop()
-            stack.append(a if t == "with" else (a[0] | b[0], min(a[1], b[1]) if t == "and" else max(a[1], b[1])))
+            if t != "with":
+                small, large = sorted((a[0], b[0]), key=len)
+                large |= small
+                a = large, min(a[1], b[1]) if t == "and" else max(a[1], b[1])
+            stack.append(a)
         else:
             name = label(t)
-            stack.append((frozenset([name]), FREEDOM.get(name, UNKNOWN)))
-    return stack[0]
+            stack.append(({name}, FREEDOM.get(name, UNKNOWN)))
+    return frozenset(stack[0][0]), stack[0][1]
 
 
 @dataclass

@@ -83,6 +83,14 @@ def test_expressions(expression, labels, freedom):
         assert found == (frozenset(labels), freedom)
 
 
+def test_long_expressions_are_read_whole():
+    names = [f"lic-a{i}" for i in range(3000)]
+    for expression in (" AND ".join(names), "(" + " OR ".join(names) + ")", "(" * 80 + names[0] + ")" * 80 + " AND " + " AND ".join(names[1:])):
+        assert licenses.parsed(expression)[0] == frozenset(names)
+    assert licenses.parsed(" AND ".join(["MIT"] * 100 + ["GPL-2.0-only"])) == (frozenset({"mit", "gpl-2"}), 0.4)
+    assert licenses.parsed("MIT AND (ISC OR (BSD " + "AND X " * 100)[0] == frozenset({"mit"})
+
+
 def test_containment_against_brute_force(spark):
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 6)))
