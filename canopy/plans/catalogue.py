@@ -705,6 +705,19 @@ def interval_overlap(spark, sf_dir):
     return analytics.overlaps(o, q, 32).select("o_orderkey", "l_orderkey", "l_linenumber")
 
 
+@query("""
+SELECT o_orderkey, count(*) AS n, min(l_orderkey) AS first, max(l_orderkey) AS last FROM (SELECT o_orderkey, date_diff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE)) AS low FROM orders) o
+JOIN (SELECT l_orderkey, date_diff('day', DATE '1990-01-01', CAST(l_shipdate AS DATE)) AS d FROM lineitem) l ON low <= d + 2 AND d <= low + 5 GROUP BY o_orderkey
+""")
+def interval_overlap_whole(spark, sf_dir):
+    day = lambda c: F.datediff(F.to_date(c), F.lit("1990-01-01"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", day("o_orderdate").alias("low")).withColumn("high", F.col("low") + 5)
+    # equal intervals overlap the same ones, so they go as one row
+    q = table(spark, sf_dir, "lineitem").groupBy(day("l_shipdate").alias("qlow")).agg(F.count(F.lit(1)).alias("m"), F.min("l_orderkey").alias("a"), F.max("l_orderkey").alias("b"))
+    met = analytics.overlaps(o, q.withColumn("qhigh", F.col("qlow") + 2), 32)
+    return met.groupBy("o_orderkey").agg(F.sum("m").alias("n"), F.min("a").alias("first"), F.max("b").alias("last"))
+
+
 @query("SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
 def membership(spark, sf_dir):
     bad = table(spark, sf_dir, "customer").filter("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey"))

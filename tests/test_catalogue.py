@@ -28,3 +28,9 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_intervals_of_whole_tables(spark, con):
+    whole = catalogue.QUERIES["interval_overlap_whole"](spark, SF).collect()
+    assert len(whole) > con.execute("SELECT count(*) FROM orders").fetchone()[0] * 0.9
+    assert sum(r["n"] for r in whole) > 100 * len(catalogue.QUERIES["interval_overlap"](spark, SF).collect())
