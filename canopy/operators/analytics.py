@@ -300,13 +300,15 @@ def members(df: DataFrame, values: DataFrame, column: str) -> DataFrame:
     return df.join(values.select(column), column, "left_semi")
 
 
-def nearest_point(points: DataFrame, asked: DataFrame, d: int) -> DataFrame:
+def nearest_point(points: DataFrame, asked: DataFrame, d: int, own: bool = True) -> DataFrame:
     """For each asked point (qid, q) the id, squared distance, of the nearest point (id, p) by its first d coordinates; ties to the smaller id.
 
     Asked points are a stated set: they go to all points in blocks, and one row for each of them comes back from a block.
+    Without ``own`` a point whose id is qid doesn't count.
     """
     part = F.pmod(F.xxhash64("id"), F.lit(64)).alias("part")
     gap = F.aggregate(F.zip_with(F.slice("p", 1, d), F.slice("q", 1, d), lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
     spread = asked.select("qid", "q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long"))).alias("part"))
     met = points.select("id", "p", part).join(spread, "part").select("qid", "id", gap.alias("dist2"))
+    met = met if own else met.filter("id <> qid")
     return met.groupBy("qid").agg(F.min(F.struct("dist2", "id")).alias("x")).select("qid", "x.id", "x.dist2")

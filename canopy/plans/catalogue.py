@@ -385,6 +385,15 @@ def as_of_join(spark, sf_dir):
     return nodes.as_of(asked, days, ["g"], "day", "price").select("l_orderkey", "l_linenumber", "price")
 
 
+@query("""
+SELECT l_orderkey, l_linenumber, d.price FROM lineitem l ASOF LEFT JOIN (SELECT CAST(o_orderdate AS DATE) AS day, max(o_totalprice) AS price FROM orders GROUP BY 1) d ON CAST(l.l_shipdate AS DATE) >= d.day
+""")
+def as_of_join_whole(spark, sf_dir):
+    days = table(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.max("o_totalprice").alias("price")).withColumn("g", F.lit(1))
+    asked = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.to_date("l_shipdate").alias("day"), F.lit(1).alias("g"))
+    return nodes.as_of(asked, days, ["g"], "day", "price").select("l_orderkey", "l_linenumber", "price")
+
+
 @query("SELECT user_id AS id, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS counter FROM events")
 def node_increment(spark, sf_dir):
     return nodes.increment(event_log(spark, sf_dir), ["id"], ["seq"]).select("id", "seq", F.col("counter").cast("bigint").alias("counter"))
@@ -542,6 +551,12 @@ def bitset_union(spark, sf_dir):
     return analytics.bits_or(a, r).agg(F.sum(F.bitmap_count("bitmap")).alias("n"))
 
 
+@query("SELECT count(DISTINCT l_partkey) AS n FROM lineitem WHERE l_returnflag IN ('A', 'R')")
+def bitset_union_whole(spark, sf_dir):
+    a, r = (analytics.bits(table(spark, sf_dir, "lineitem").filter(F.col("l_returnflag") == f), [], "l_partkey") for f in "AR")
+    return analytics.bits_or(a, r).agg(F.sum(F.bitmap_count("bitmap")).alias("n"))
+
+
 @query("SELECT count(*) AS n FROM (SELECT l_partkey FROM lineitem WHERE l_suppkey % 7 = 1 INTERSECT SELECT l_partkey FROM lineitem WHERE l_suppkey % 7 = 2)")
 def bitset_intersect(spark, sf_dir):
     t = table(spark, sf_dir, "lineitem")
@@ -587,6 +602,12 @@ def bloom_no_false_negatives(spark, sf_dir):
     return analytics.bloom_maybe(p.select("p_partkey", "p_brand"), "p_brand", analytics.bloom(p, "p_brand", 4096), 4096).select("p_partkey", "maybe")
 
 
+@query("SELECT p_partkey, true AS maybe FROM part")
+def bloom_no_false_negatives_whole(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    return analytics.bloom_maybe(p.select("p_partkey", "p_brand"), "p_brand", analytics.bloom(p, "p_brand", 4096), 4096).select("p_partkey", "maybe")
+
+
 @query("""
 WITH RECURSIVE c AS (SELECT c_custkey AS k, c_name AS s, 0 AS i, CAST(7 AS HUGEINT) AS h FROM customer WHERE c_custkey <= 200
   UNION ALL SELECT k, s, i + 1, (h * 31 + ascii(substr(s, i + 1, 1))) % 4294967296 FROM c WHERE i < length(s))
@@ -596,6 +617,11 @@ def fold_hash(spark, sf_dir):
     return table(spark, sf_dir, "customer").filter("c_custkey <= 200").select("c_custkey", analytics.fold_hash(F.col("c_name"), 7).alias("h"))
 
 
+@query()
+def fold_hash_whole(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", analytics.fold_hash(F.col("c_name"), 7).alias("h"))
+
+
 @query()
 def merkle_tree(spark, sf_dir):
     return analytics.merkle(table(spark, sf_dir, "benchmark"), "item_id", "text")
@@ -606,10 +632,12 @@ _EDGES = """(SELECT 'c' || c_custkey AS src, 'n' || c_nationkey AS dst FROM cust
   UNION SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation WHERE n_nationkey % 4 <> 0)"""
 
 
-def graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+def graph(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     c, s, n = (table(spark, sf_dir, t) for t in ("customer", "supplier", "nation"))
     edge = lambda df, a, x, b, y: df.select(F.concat(F.lit(a), F.col(x)).alias("src"), F.concat(F.lit(b), F.col(y)).alias("dst"), F.lit(1.0).alias("weight"))
-    return edge(c.filter("c_custkey % 3 = 0"), "c", "c_custkey", "n", "c_nationkey").unionByName(edge(s, "s", "s_suppkey", "n", "s_nationkey")).unionByName(edge(n.filter("n_nationkey % 4 <> 0"), "n", "n_nationkey", "r", "n_regionkey"))
+    if not whole:
+        c, n = c.filter("c_custkey % 3 = 0"), n.filter("n_nationkey % 4 <> 0")
+    return edge(c, "c", "c_custkey", "n", "c_nationkey").unionByName(edge(s, "s", "s_suppkey", "n", "s_nationkey")).unionByName(edge(n, "n", "n_nationkey", "r", "n_regionkey"))
 
 
 @query("SELECT src, count(*) AS degree FROM (SELECT src, dst FROM " + _EDGES + " UNION SELECT dst, src FROM " + _EDGES + ") GROUP BY src")
@@ -640,6 +668,38 @@ def graph_components(spark, sf_dir):
     return analytics.connected(graph(spark, sf_dir))
 
 
+_ALL_EDGES = """(SELECT 'c' || c_custkey AS src, 'n' || c_nationkey AS dst FROM customer
+  UNION SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation)"""
+
+
+@query("SELECT src, count(*) AS degree FROM (SELECT src, dst FROM " + _ALL_EDGES + " UNION SELECT dst, src FROM " + _ALL_EDGES + ") GROUP BY src")
+def graph_degrees_whole(spark, sf_dir):
+    return analytics.degrees(analytics.graph_edges(graph(spark, sf_dir, whole=True), directed=False)).select("src", "degree")
+
+
+@query("SELECT (SELECT count(DISTINCT x) FROM (SELECT src AS x FROM " + _ALL_EDGES + " UNION SELECT dst FROM " + _ALL_EDGES + ")) AS nodes, (SELECT count(*) FROM " + _ALL_EDGES + ") AS edges")
+def graph_counts_whole(spark, sf_dir):
+    return analytics.graph_counts(graph(spark, sf_dir, whole=True), directed=False)
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT src, dst FROM """ + _ALL_EDGES + """ UNION SELECT dst, src FROM """ + _ALL_EDGES + """),
+b AS (SELECT 'r1' AS node, 0 AS level UNION SELECT e.dst, b.level + 1 FROM b JOIN e ON e.src = b.node WHERE b.level < 8)
+SELECT node, min(level) AS level FROM b GROUP BY node
+""")
+def graph_bfs_whole(spark, sf_dir):
+    return analytics.bfs(analytics.graph_edges(graph(spark, sf_dir, whole=True), directed=False), ["r1"])
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT src, dst FROM """ + _ALL_EDGES + """ UNION SELECT dst, src FROM """ + _ALL_EDGES + """),
+b AS (SELECT src AS node, src AS c FROM e UNION SELECT e.dst, b.c FROM b JOIN e ON e.src = b.node)
+SELECT node, min(c) AS component FROM b GROUP BY node
+""")
+def graph_components_whole(spark, sf_dir):
+    return analytics.connected(graph(spark, sf_dir, whole=True))
+
+
 _COO = "SELECT l_partkey % 20 AS i, l_suppkey % 20 AS j, CAST(sum(l_quantity) AS DOUBLE) AS v FROM lineitem WHERE l_linenumber = {} GROUP BY ALL"
 
 
@@ -684,6 +744,16 @@ def segment_ranges(spark, sf_dir):
     return r.select("o_orderkey", "n", F.round("sum", 2).alias("sum"), "min", "max")
 
 
+@query("""
+SELECT q.o_orderkey, count(e.value) AS n, round(sum(e.value), 2) AS sum, min(e.value) AS min, max(e.value) AS max
+FROM (SELECT o_orderkey, o_orderkey % 3000 AS lo, o_orderkey % 3000 + o_custkey * 3 AS hi FROM orders) q LEFT JOIN events e ON e.event_id BETWEEN q.lo AND q.hi GROUP BY q.o_orderkey
+""")
+def segment_ranges_whole(spark, sf_dir):
+    asked = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 3000).alias("lo"), (F.col("o_orderkey") % 3000 + F.col("o_custkey") * 3).alias("hi"))
+    r = analytics.range_aggregates(table(spark, sf_dir, "events"), asked, "event_id", "value", 512)
+    return r.select("o_orderkey", "n", F.round("sum", 2).alias("sum"), "min", "max")
+
+
 @query("SELECT event_id, min(value) OVER w AS low, max(value) OVER w AS high FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)")
 def segment_sliding(spark, sf_dir):
     return analytics.sliding(table(spark, sf_dir, "events"), ["user_id"], ["event_id"], "value", 3).select("event_id", "low", "high")
@@ -734,6 +804,16 @@ def kd_nearest(spark, sf_dir):
     return analytics.nearest_point(e.filter("vec_id % 50 <> 0").select(F.col("vec_id").alias("id"), F.col("embedding").alias("p")), asked, 2).select("qid", "id")
 
 
+@query("""
+SELECT q.vec_id AS qid, arg_min(p.vec_id, {'d': (CAST(p.embedding[1] AS DOUBLE) - q.embedding[1]) ** 2 + (CAST(p.embedding[2] AS DOUBLE) - q.embedding[2]) ** 2, 'i': p.vec_id}) AS id
+FROM embeddings p, embeddings q WHERE q.vec_id % 50 = 0 AND p.vec_id <> q.vec_id GROUP BY q.vec_id
+""")
+def kd_nearest_whole(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    asked = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
+    return analytics.nearest_point(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("p")), asked, 2, own=False).select("qid", "id")
+
+
 # --- search ---------------------------------------------------------------------------------------------------
 
 _WORDS = "string_split_regex(lower(coalesce(text, '')), '[\\s,.!?;:()\\[\\]{}\"'']')"

@@ -34,3 +34,34 @@ def test_intervals_of_whole_tables(spark, con):
     whole = catalogue.QUERIES["interval_overlap_whole"](spark, SF).collect()
     assert len(whole) > con.execute("SELECT count(*) FROM orders").fetchone()[0] * 0.9
     assert sum(r["n"] for r in whole) > 100 * len(catalogue.QUERIES["interval_overlap"](spark, SF).collect())
+
+
+@pytest.mark.parametrize(("name", "of"), [("as_of_join_whole", "lineitem"), ("segment_ranges_whole", "orders"), ("bloom_no_false_negatives_whole", "part"), ("fold_hash_whole", "customer")])
+def test_whole_tables_are_asked(spark, con, name, of):
+    assert catalogue.QUERIES[name](spark, SF).count() == con.execute(f"SELECT count(*) FROM {of}").fetchone()[0]
+
+
+def test_fold_hash_of_all_customers(spark, con):
+    want = {}
+    for key, name in con.execute("SELECT c_custkey, c_name FROM customer").fetchall():
+        h = 7
+        for x in name:
+            h = (h * 31 + ord(x)) % 4294967296
+        want[key] = h
+    assert {r["c_custkey"]: r["h"] for r in catalogue.QUERIES["fold_hash_whole"](spark, SF).collect()} == want
+
+
+def test_bloom_rejects_values_outside(spark):
+    from canopy.operators import analytics
+
+    p = catalogue.table(spark, SF, "part")
+    asked = spark.createDataFrame([(f"absent {i}",) for i in range(500)], "p_brand string")
+    assert analytics.bloom_maybe(asked, "p_brand", analytics.bloom(p, "p_brand", 4096), 4096).filter("maybe").count() < 50
+
+
+def test_nearest_point_may_be_an_asked_one(spark):
+    from canopy.operators import analytics
+
+    e = spark.createDataFrame([(0, [0.0, 0.0]), (50, [1.0, 0.0]), (3, [9.0, 0.0])], "id long, p array<double>")
+    asked = e.filter("id % 50 = 0").select(e.id.alias("qid"), e.p.alias("q"))
+    assert {(r["qid"], r["id"]) for r in analytics.nearest_point(e, asked, 2, own=False).collect()} == {(0, 50), (50, 0)}
