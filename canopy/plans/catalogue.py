@@ -573,6 +573,11 @@ def trie_prefixes(spark, sf_dir):
     return analytics.prefixes(table(spark, sf_dir, "part"), "p_name", 4)
 
 
+@query("SELECT left(p_name, n) AS prefix, count(DISTINCT p_name) AS n FROM (SELECT p_name, unnest(range(1, length(p_name) + 1)) AS n FROM part) GROUP BY 1")
+def trie_prefixes_whole(spark, sf_dir):
+    return analytics.prefixes(table(spark, sf_dir, "part"), "p_name", (1 << 31) - 1)
+
+
 @query("""
 WITH s AS (SELECT item_id, p - 1 AS pos, substr(left(text, 60), CAST(p AS BIGINT)) AS suffix FROM (SELECT item_id, text, unnest(range(1, length(left(text, 60)) + 1)) AS p FROM benchmark))
 SELECT item_id, pos, row_number() OVER (PARTITION BY item_id ORDER BY suffix) AS rank FROM s
@@ -582,6 +587,15 @@ def suffix_array(spark, sf_dir):
     return s.select("item_id", F.col("pos").cast("bigint").alias("pos"), F.col("rank").cast("bigint").alias("rank"))
 
 
+@query("""
+WITH s AS (SELECT item_id, p - 1 AS pos, substr(text, CAST(p AS BIGINT)) AS suffix FROM (SELECT item_id, text, unnest(range(1, length(text) + 1)) AS p FROM benchmark))
+SELECT item_id, pos, row_number() OVER (PARTITION BY item_id ORDER BY suffix) AS rank FROM s
+""")
+def suffix_array_whole(spark, sf_dir):
+    s = analytics.suffixes(table(spark, sf_dir, "benchmark"), "item_id", "text")
+    return s.select("item_id", F.col("pos").cast("bigint").alias("pos"), F.col("rank").cast("bigint").alias("rank"))
+
+
 @query("SELECT item_id, p - 1 AS pos FROM (SELECT item_id, text, unnest(range(1, length(text) - 1)) AS p FROM benchmark) WHERE substr(text, CAST(p AS BIGINT), 2) = 'an'")
 def suffix_search(spark, sf_dir):
     o = analytics.occurrences(table(spark, sf_dir, "benchmark"), "item_id", "text", "an")

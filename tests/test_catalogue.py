@@ -65,3 +65,10 @@ def test_nearest_point_may_be_an_asked_one(spark):
     e = spark.createDataFrame([(0, [0.0, 0.0]), (50, [1.0, 0.0]), (3, [9.0, 0.0])], "id long, p array<double>")
     asked = e.filter("id % 50 = 0").select(e.id.alias("qid"), e.p.alias("q"))
     assert {(r["qid"], r["id"]) for r in analytics.nearest_point(e, asked, 2, own=False).collect()} == {(0, 50), (50, 0)}
+
+
+def test_whole_texts_have_suffixes_and_prefixes(spark, con):
+    n, longest = con.execute("SELECT sum(length(text)), max(length(text)) FROM benchmark").fetchone()
+    found = catalogue.QUERIES["suffix_array_whole"](spark, SF)
+    assert found.count() == n and found.agg({"pos": "max"}).first()[0] == longest - 1 > 60
+    assert catalogue.QUERIES["trie_prefixes_whole"](spark, SF).selectExpr("max(length(prefix))").first()[0] == con.execute("SELECT max(length(p_name)) FROM part").fetchone()[0]
