@@ -1,8 +1,8 @@
 """Line deduplication with DataFrame functions only.
 
 Hashes of long line keys are range-partitioned by hash and document, so that one very common line spreads over many
-partitions, and sorted by document (largest first) and position within a hash. The first document of a hash keeps its
-lines. The result is a keep bitmap for each document that loses lines, compressed to run boundaries; texts are cut
+partitions. There is no sorted stream of first occurrences: lines are grouped by hash and document, the largest document
+of each hash is found by an aggregate and joined back, and it alone keeps its lines. The result is a keep bitmap for each document that loses lines, compressed to run boundaries; texts are cut
 from the bitmaps in a later step.
 """
 
