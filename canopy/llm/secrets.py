@@ -18,6 +18,8 @@ from re import _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import hot_keys, spread_join
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -156,7 +158,6 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...], text: Column, segments:
     number = {t: i for i, t in enumerate(sorted({t for q in queries.values() for c in q for a in c for t in a}))}
     lists = _postings(docs, text, list(number), segments)
 
-
     def marked(i: int) -> Column:
         return F.transform(_met(queries[i], number), lambda k: F.struct(k.alias("key"), F.lit(1 << i).cast("long").alias("bit")))
 
@@ -190,18 +191,23 @@ def scanned(docs: DataFrame, rules: tuple[Rule, ...] = BASE + ADDED, text: str =
     """docs with __spans: (s, k, e) of every match of every rule, by start and then rule.
 
     A null text counts as empty and has none. Equal texts share postings; each row is verified by itself, so a clash of
-    hashes costs time only.
+    hashes costs time only. A text that many rows have is dealt to several tasks by the rows' other columns. docs must
+    not have columns __text, __key, __mask, __part or __spans; any other names may occur.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    segments = max(64, -(-docs.count() // segment))
-    found = candidates(docs, rules, body, segments).withColumnRenamed("key", "__key")
-    joined = docs.withColumn("__text", body).withColumn("__key", F.xxhash64("__text")).join(found, "__key", "left")
+    counts = docs.select(F.xxhash64(body).alias("__key")).groupBy("__key").agg(F.count(F.lit(1)).alias("n"))
+    total = docs.count()
+    segments = max(64, -(-total // segment))
+    found = candidates(docs, rules, body, segments).select(F.col("key").alias("__key"), F.col("mask").alias("__mask"))
+    keyed = docs.withColumn("__text", body).withColumn("__key", F.xxhash64("__text"))
+    others = [c for c in docs.columns if c != text] or [text]
+    joined = spread_join(keyed, found, "__key", hot_keys(counts, "__key", total), F.xxhash64(*others), "left")
     none = F.array().cast("array<struct<s:int,k:int,e:int>>")
     each = []
     for i, rule in enumerate(rules):
         wanted = F.col("__text").rlike(rule.pattern)
         if trigram_query(rule.pattern):
-            wanted = (F.coalesce(F.col("mask"), F.lit(0)).bitwiseAND(F.lit(1 << i)) != 0) & wanted
+            wanted = (F.coalesce(F.col("__mask"), F.lit(0)).bitwiseAND(F.lit(1 << i)) != 0) & wanted
         each.append(F.when(wanted, spans("__text", rule, i)).otherwise(none))
     return joined.select(*[F.col(c) for c in docs.columns], F.array_sort(F.concat(*each)).alias("__spans"))
 
