@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import in_batches
+from .common import in_batches, stored
 
 #: Shingle width and least containment.
 WIDTH, LEAST = 5, 0.8
@@ -171,16 +171,33 @@ def contained(docs: DataFrame, items: DataFrame, width: int = WIDTH, least: floa
 
 
 def blocks_of(rows: DataFrame, width: int, least: float) -> Iterator[list[Item]]:
-    """Sketched items of rows (item_id, text), in blocks of bounded size; items of equal words share a block."""
+    """Sketched items of rows (item_id, text), in blocks of bounded size; items of equal shingles share a block.
+
+    Blocks are dealt by a hash of the shingles themselves, so what is one item doesn't depend on how many blocks there
+    are. Each block is a scan of its own; the driver holds their items.
+    """
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("b")).first()
     blocks = max(1, math.ceil(size["n"] / BLOCK_ITEMS), math.ceil((size["b"] or 0) / BLOCK_BYTES))
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = [content_key(t.as_py(), width) % blocks for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at, pa.int32())], names=["item_id", "text", "block"])
+
+    if blocks > 1:
+        rows = stored(in_batches(rows).mapInArrow(dealt, "item_id long, text string, block int"))
     for k in range(blocks):
-        key = F.xxhash64(F.regexp_replace(F.lower("text"), r"[^0-9a-z\x{80}-\x{10ffff}]+", " "))
-        found = sketched([tuple(r) for r in (rows.filter(F.pmod(key, F.lit(blocks)) == k) if blocks > 1 else rows).collect()], width, least)
+        found = sketched([(r["item_id"], r["text"]) for r in (rows.filter(F.col("block") == k) if blocks > 1 else rows).collect()], width, least)
         if found:
             yield found
 
 
+def content_key(text: str | None, width: int) -> int:
+    """The same number for texts of equal shingles."""
+    used, shingles = shingles_of(text, width)
+    return used ^ reduce(lambda a, b: a ^ b, shingles.values(), 0)
+
+
 def without(docs: DataFrame, items: DataFrame, width: int = WIDTH, least: float = LEAST, text: str = "text", item_text: str = "text") -> DataFrame:
     """The rows of docs that contain no item, with all their columns."""
     rows = items.select(F.lit(None).cast("long").alias("item_id"), F.col(item_text).alias("text"))
