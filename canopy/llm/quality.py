@@ -143,35 +143,41 @@ def quarter(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4
 
 
+def _place(name: str) -> Column:
+    """A row's place in the sample's order: a hash of its doc_id."""
+    return F.xxhash64(F.lit(name), "doc_id")
+
+
 def _sample(docs: DataFrame, name: str, n: int, most: int) -> DataFrame:
+    """doc_id and place of about ``most`` of n rows (half as many again, for chance): those of the lowest hashes."""
     grain = 1 << 20
-    return docs.filter(F.pmod(F.xxhash64(F.lit(name), "doc_id"), F.lit(grain)) < min(grain, -(-most * grain // max(1, n))))
+    return docs.select("doc_id", _place(name).alias("place")).filter(F.pmod(F.xxhash64(F.lit(name), F.lit("share"), "doc_id"), F.lit(grain)) < min(grain, -(-3 * most * grain // (2 * max(1, n)))))
 
 
 def fitted(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED) -> Model | None:
     """A model from the documents of the training quarters.
 
     Positives are documents all of whose labels are 1; unlabelled ones have no label. Both are samples by a hash of
-    doc_id, of about the given sizes at most; the labels' and documents' ids alone are counted to set the shares.
+    doc_id, of the given sizes at most, cut in the order of a hash as well, so that no range of ids is preferred. Rows
+    with a null doc_id are never learned from; ids may be of any type that both tables share.
     """
     train = F.col("doc_id").isNotNull() & (quarter(F.col("doc_id")) != 2)
     quality = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).filter(train & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("least"))
     good = quality.filter("least = 1").select("doc_id")
-    ids = docs.select("doc_id").filter(train)
-    n_good, n_all = good.count(), ids.count()
-    # both id sets are bounded by the sample sizes, whatever the input
-    p_ids = _sample(good, "quality-p", n_good, most_positive)
-    u_ids = _sample(ids, "quality-u", n_all, 2 * most_unlabelled).distinct().join(quality, "doc_id", "left_anti")
-    chosen = p_ids.withColumn("p", F.lit(True)).unionByName(u_ids.withColumn("p", F.lit(False)))
-    wanted = {r["doc_id"]: r["p"] for r in chosen.limit(4 * (most_positive + most_unlabelled)).collect()}
+    free = docs.select("doc_id").filter(train).distinct().join(quality, "doc_id", "left_anti")
+    n_good, n_free = good.count(), free.count()
+    chosen = _sample(good, "quality-p", n_good, most_positive).withColumn("p", F.lit(True)).unionByName(_sample(free, "quality-u", n_free, most_unlabelled).withColumn("p", F.lit(False)))
+    # about one and a half times the samples' sizes, whatever the input
+    wanted = {r["doc_id"]: (r["p"], r["place"]) for r in chosen.collect()}
     if not wanted:
         return None
-    some = docs.select("doc_id", "text").filter(train)
-    listed = docs.sparkSession.createDataFrame([(i,) for i in wanted], "doc_id long")
-    rows = featured(some.join(F.broadcast(listed), "doc_id", "left_semi"), ("doc_id",)).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["features"]))
+    listed = docs.sparkSession.createDataFrame([(i,) for i in wanted], docs.select("doc_id").schema)
+    found = featured(docs.select("doc_id", "text").filter(train).join(F.broadcast(listed), "doc_id", "left_semi"), ("doc_id",))
+    # one row for each id, however often it occurs
+    rows = found.groupBy("doc_id").agg(F.min("features").alias("features")).collect()
+    rows.sort(key=lambda r: wanted[r["doc_id"]][1])
     x = np.array([np.frombuffer(r["features"], "<f8") for r in rows]).reshape(-1, N_FEATURES)
-    p = np.array([wanted[r["doc_id"]] for r in rows], dtype=bool)
+    p = np.array([wanted[r["doc_id"]][0] for r in rows], dtype=bool)
     return fit(x[p][:most_positive], x[~p][:most_unlabelled])
 
 
@@ -189,9 +195,13 @@ def featured(docs: DataFrame, keep: tuple[str, ...], text: str = "text") -> Data
 
 
 def scored(docs: DataFrame, model: Model | None, text: str = "text", score: str = "score") -> DataFrame:
-    """docs with a score from 0 to 1 for every row; 0.5 for all without a model. A null text counts as empty."""
-    names = docs.columns
-    schema = docs.withColumn(score, F.lit(0.0)).schema
+    """docs with a score from 0 to 1 for every row; 0.5 for all without a model. A null text counts as empty.
+
+    A column of docs that has the score's name gives way to it.
+    """
+    own = docs.drop(score)
+    names = own.columns
+    schema = own.withColumn(score, F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -199,4 +209,4 @@ def scored(docs: DataFrame, model: Model | None, text: str = "text", score: str
             s = model.scores(x) if model else np.full(len(x), 0.5)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], names=[*names, score])
 
-    return in_batches(docs).mapInArrow(run, schema)
+    return in_batches(own).mapInArrow(run, schema)
