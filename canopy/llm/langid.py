@@ -20,8 +20,8 @@ from .common import in_batches
 
 #: Bytes in a window; widths of filters; filters of each width; embedding size.
 WINDOW, WIDTHS, FILTERS, EMBEDDING = 256, (2, 3, 4), 16, 8
-#: Bounds of the training sample: texts of one language, languages, and windows of one text.
-MOST_TEXTS, MOST_LANGS, MOST_WINDOWS = 400, 128, 3
+#: Bounds of the training sample: texts of one language, texts in all (but no fewer than LEAST_TEXTS of a language, however many languages), and windows of one text.
+MOST_TEXTS, MOST_SAMPLE, LEAST_TEXTS, MOST_WINDOWS = 400, 50_000, 20, 3
 #: Windows that are scored at once.
 BATCH = 64
 STEP = WINDOW - max(WIDTHS) + 1
@@ -146,26 +146,28 @@ def third(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3
 
 
-def fitted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", most: int = MOST_TEXTS) -> Model | None:
-    """A model from documents outside the held-out third.
+def fitted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", most: int = MOST_TEXTS, sample: int = MOST_SAMPLE) -> Model | None:
+    """A model of every language from documents outside the held-out third.
 
-    It sees at most about ``most`` texts of each of the MOST_LANGS commonest languages, picked by a hash of doc_id, and
-    MOST_WINDOWS windows spread over each.
+    It sees about ``most`` texts of each language, fewer where languages are so many that ``sample`` texts in all would
+    not do (then ``sample`` over their number, LEAST_TEXTS at least), picked by a hash of doc_id and text, and MOST_WINDOWS
+    windows spread over each. The driver holds the languages' names and the sample.
     """
-    own = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull() & (third(F.col(doc_id)) != 1))
-    counts = own.groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect()
+    own = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull() & (third(F.col(doc_id)) != 1)).select(
+        F.col(doc_id).alias("i"), F.col(lang).alias("lang"), F.col(text).alias("body")
+    )
+    counts = own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
     if not counts:
         return None
+    most = max(LEAST_TEXTS, min(most, sample // len(counts)))
     grain = 1 << 20
-    share = F.lit(-1)
-    for r in counts:
-        share = F.when(F.col(lang) == r["lang"], F.lit(min(grain, -(-most * grain // r["n"])))).otherwise(share)
-    body = F.col(text)
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(grain, -(-most * grain // r["n"]))) for r in counts], "lang string, share long")
+    body = F.col("body")
     # windows spread over the text, in code points; each is cut to WINDOW bytes later
     begins = [(F.length(body) * k / MOST_WINDOWS).cast("int") + 1 for k in range(MOST_WINDOWS)]
     cut = F.array(*[F.substring(body, b, F.lit(WINDOW)) for b in begins])
-    picked = own.filter(F.pmod(F.xxhash64(F.lit("langid"), doc_id), F.lit(grain)) < share).filter(body.rlike(r"\p{L}"))
-    rows = picked.select(F.col(doc_id).alias("i"), F.col(lang).alias("lang"), cut.alias("cut")).limit(2 * most * len(counts)).collect()
+    picked = own.join(F.broadcast(shares), "lang").filter(F.pmod(F.xxhash64(F.lit("langid"), "i", "body"), F.lit(grain)) < F.col("share")).filter(body.rlike(r"\p{L}"))
+    rows = picked.select("i", "lang", cut.alias("cut")).distinct().collect()
     rows.sort(key=lambda r: (r["i"], r["lang"], r["cut"]))
     return train([(r["lang"], c.encode("utf-8", "surrogatepass")) for r in rows for c in dict.fromkeys(r["cut"]) if c.strip()])
 
