@@ -6,7 +6,8 @@ inner products. Every row is indexed: its cell and its four-bit codes. A query v
 products with their centres; there a table of its products with all centres, two codes to a byte, scores all rows, and
 the best go to an exact comparison of original vectors. How many cells a query visits is measured on the sample.
 
-Rows and queries meet in tasks for one cell, one block of its rows and one block of its queries, both of bounded size.
+Neighbouring cells make blocks of bounded size, larger than the depth of the exact comparison; a cell that is larger is
+dealt to several. Rows and queries meet in tasks for one block and a bounded number of its queries.
 """
 
 from __future__ import annotations
@@ -23,10 +24,10 @@ from .common import stored
 
 #: Bounds of the sample that fits the index, and of its rows that measure recall.
 SAMPLE, TRIALS = 16_384, 256
-#: Cells at most; rows and queries of a task at most.
-MOST_CELLS, BLOCK_ROWS, BLOCK_QUERIES = 1024, 16_384, 2048
-#: Recall that the visits should reach on the sample, and exactly compared vectors for each one wanted.
-RECALL, RERANK = 0.985, 16
+#: Cells at most; rows of a block and queries of a task, about.
+MOST_CELLS, BLOCK_ROWS, BLOCK_QUERIES = 2048, 8192, 512
+#: Recall that the visits should reach on the sample; vectors of a block compared exactly for each one wanted.
+RECALL, RERANK = 0.97, 8
 #: Products above this share of the vectors' norms are those whose error counts (the threshold of the weight).
 THRESHOLD = 0.2
 
@@ -154,39 +155,72 @@ def scan_tables(q: np.ndarray, books: np.ndarray) -> np.ndarray:
     return (one[::2, None, :] + one[1::2, :, None]).reshape(-1, 256).astype(np.float32)
 
 
-def best_in_block(ids: np.ndarray, x: np.ndarray, packed: np.ndarray, queries: np.ndarray, q: np.ndarray, index: Index, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(query ids, vec ids, products): the k best rows of a block for each query, equal vectors compared once."""
-    _, first, of = np.unique(x, axis=0, return_index=True, return_inverse=True)
-    order = np.lexsort((ids, of.ravel()))
-    begin = np.searchsorted(of.ravel()[order], np.arange(len(first) + 1))
-    kinds, codes = x[first], np.ascontiguousarray(packed[first].T)
-    wide = padded(q.astype(np.float64))
-    distinct, same = np.unique(wide, axis=0, return_inverse=True)
-    by_query = np.argsort(same.ravel(), kind="stable")
-    bounds = np.searchsorted(same.ravel()[by_query], np.arange(len(distinct) + 1))
-    most = RERANK * (k + 1)
-    for n, v in enumerate(distinct):
-        if len(first) > most:
-            table = scan_tables(v, index.books)
-            rough = table[0][codes[0]]
-            for j in range(1, len(codes)):
-                rough += table[j][codes[j]]
-            some = np.argpartition(-rough, most)[:most]
+class Block:
+    """The rows of a block: distinct vectors with their codes, in order of cells, and the ids that have each vector."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, packed: np.ndarray, cell: np.ndarray):
+        order = np.lexsort((ids, cell))
+        ids, x, packed, cell = ids[order], x[order], packed[order], cell[order]
+        _, first, of = np.unique(x, axis=0, return_index=True, return_inverse=True)
+        # distinct vectors keep the order of cells: equal vectors share a cell
+        by = np.argsort(first, kind="stable")
+        place = np.empty_like(by)
+        place[by] = np.arange(len(by))
+        of, first = place[of.ravel()], first[by]
+        rows = np.argsort(of, kind="stable")
+        self.ids, self.begin = ids[rows], np.searchsorted(of[rows], np.arange(len(first) + 1))
+        self.kinds, self.codes, self.cells = x[first], np.ascontiguousarray(packed[first].T), cell[first]
+
+    def places(self, cells: np.ndarray) -> np.ndarray:
+        """Places of the distinct vectors in these cells."""
+        lo, hi = np.searchsorted(self.cells, cells, "left"), np.searchsorted(self.cells, cells, "right")
+        return np.concatenate([np.arange(a, b) for a, b in zip(lo, hi, strict=True)] or [np.zeros(0, np.int64)])
+
+    def best(self, query: int, q: np.ndarray, cells: np.ndarray, index: Index, k: int) -> tuple[np.ndarray, np.ndarray, int, int]:
+        """(ids, products, vectors scanned, vectors compared): the k best rows in these cells but for the query's own.
+
+        All of their vectors are scored by the four-bit tables; the RERANK * (k + 1) best are compared exactly.
+        """
+        seen = self.places(cells)
+        if not len(seen):
+            return np.zeros(0, np.int64), np.zeros(0), 0, 0
+        table = scan_tables(padded(q[None])[0], index.books)
+        rough = (index.cells @ padded(q[None])[0])[self.cells[seen]].astype(np.float32)
+        for j in range(len(self.codes)):
+            rough += table[j][self.codes[j][seen]]
+        most = RERANK * (k + 1)
+        some = seen[np.argpartition(-rough, most)[:most]] if len(seen) > most else seen
+        exact = (self.kinds[some] * q).sum(axis=1)
+        found = {}
+        for t in np.lexsort((self.ids[self.begin[some]], -exact))[: k + 1]:
+            # of equal vectors no more than can be wanted, with a place for the query's own id
+            for i in np.unique(self.ids[self.begin[some[t]] : self.begin[some[t] + 1]])[: k + 1].tolist():
+                if i != query:
+                    found.setdefault(i, exact[t])
+        ids, scores = np.array(list(found), np.int64), np.array(list(found.values()), np.float64)
+        top = np.lexsort((ids, -scores))[:k]
+        return ids[top], scores[top], len(seen), len(some)
+
+
+def plan_blocks(index: Index, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First block of each cell, and how many blocks its rows are dealt to.
+
+    Cells go to blocks in the order of a walk from each to the nearest one left, so that a query's cells are in few blocks.
+    """
+    left = np.flatnonzero(sizes > 0)
+    first, parts = np.zeros(len(sizes), np.int64), np.ones(len(sizes), np.int64)
+    block, held, at = 0, 0, None
+    while len(left):
+        near = 0 if at is None else int(((index.cells[left] - index.cells[at]) ** 2).sum(axis=1).argmin())
+        at, left = left[near], np.delete(left, near)
+        if held and held + sizes[at] > BLOCK_ROWS:
+            block, held = block + 1, 0
+        first[at], parts[at] = block, max(1, -(-int(sizes[at]) // BLOCK_ROWS))
+        if parts[at] > 1:
+            block, held = block + int(parts[at]), 0
         else:
-            some = np.arange(len(first))
-        exact = (kinds[some] * v[: x.shape[1]]).sum(axis=1)
-        top = np.lexsort((ids[order[begin[some]]], -exact))[: k + 1]
-        found_ids, found = [], []
-        for t in top:
-            copies = ids[order[begin[some[t]] : begin[some[t] + 1]]][: k + 1]
-            found_ids.append(copies)
-            found.append(np.full(len(copies), exact[t]))
-        all_ids, all_scores = np.concatenate(found_ids), np.concatenate(found)
-        by = np.lexsort((all_ids, -all_scores))
-        all_ids, all_scores = all_ids[by], all_scores[by]
-        for query in queries[by_query[bounds[n] : bounds[n + 1]]]:
-            keep = np.flatnonzero(all_ids != query)[:k]
-            yield np.full(len(keep), query), all_ids[keep], all_scores[keep]
+            held += sizes[at]
+    return first, parts
 
 
 def usable(vector: Column, size: int | None = None) -> Column:
@@ -203,7 +237,8 @@ def searched(vectors: DataFrame, wanted: Column, k: int = 20, vec_id: str = "vec
     """query_id, rank, vec_id and score of the k rows found for each row that ``wanted`` picks, never the row itself.
 
     Rows whose vector is null, zero, not finite or not of the commonest length, or whose id is null, take no part. Ties
-    go to the smaller vec_id. Where there are fewer than k others, all are returned.
+    go to the smaller vec_id. Where there are fewer than k others, all are returned. An id that several rows have is one
+    row of the result, with the largest product of its vectors; as a query it asks with the smallest of its vectors.
     """
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
@@ -212,9 +247,9 @@ def searched(vectors: DataFrame, wanted: Column, k: int = 20, vec_id: str = "vec
     if not lengths:
         return spark.createDataFrame([], schema)
     d, total = lengths[0]["d"], lengths[0]["n"]
-    own = rows.filter(F.size(vector) == d).select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"), wanted.alias("asks"))
+    own = rows.filter(F.size(vector) == d).select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(wanted, F.lit(False)).alias("asks"))
     grain = 1 << 20
-    some = own.filter(F.pmod(F.xxhash64(F.lit("ann"), "vec_id"), F.lit(grain)) < min(grain, -(-SAMPLE * grain // total))).select("vec_id", "v").limit(2 * SAMPLE).collect()
+    some = own.filter(F.pmod(F.xxhash64(F.lit("ann"), "vec_id", "v"), F.lit(grain)) < min(grain, -(-SAMPLE * grain // total))).select("vec_id", "v").distinct().collect()
     some.sort(key=lambda r: (r["vec_id"], r["v"]))
     index = fit(np.array([r["v"] for r in some] or [[0.0] * d]), total, k, recall)
 
@@ -232,42 +267,56 @@ def searched(vectors: DataFrame, wanted: Column, k: int = 20, vec_id: str = "vec
     sizes = np.zeros(len(index.cells), np.int64)
     for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect():
         sizes[r["cell"]] = r["n"]
+    first, parts = plan_blocks(index, sizes)
 
     def visiting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each block that a query visits, with its cells there."""
         for b in batches:
             q = padded(_matrix(b.column("v"), d))
             order = np.argsort(-(q @ index.cells.T), axis=1, kind="stable")
             held = np.cumsum(sizes[order], axis=1)
             # enough cells for k rows whatever the visits
             n = np.maximum(index.visits, (held < min(4 * (k + 1), total)).sum(axis=1) + 1)
-            at = np.repeat(np.arange(len(q)), np.minimum(n, len(sizes)))
-            cells = np.concatenate([order[i, : n[i]] for i in range(len(q))]) if len(q) else np.zeros(0, np.int64)
-            full = sizes[cells] > 0
-            yield pa.RecordBatch.from_arrays([b.column("vec_id").take(pa.array(at[full])), b.column("v").take(pa.array(at[full])), pa.array(cells[full].astype(np.int32))], names=["query_id", "q", "cell"])
-
-    visits = placed.filter("asks").select("vec_id", "v").mapInArrow(visiting, "query_id long, q array<double>, cell int")
-    asked = {r["cell"]: r["n"] for r in visits.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    block = int(np.clip(total // 256, 256, BLOCK_ROWS))
-    plan = [(int(c), int(-(-sizes[c] // block)), int(-(-n // BLOCK_QUERIES))) for c, n in asked.items()]
-    # as many rows as there are cells
-    blocks = F.broadcast(spark.createDataFrame(plan, "cell int, row_blocks int, query_blocks int"))
-    number = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = placed.join(blocks, "cell").select("cell", number("vec_id", "row_blocks").alias("a"), each("query_blocks").alias("b"), "vec_id", "v", "codes")
-    right = visits.join(blocks, "cell").select("cell", each("row_blocks").alias("a"), number("query_id", "query_blocks").alias("b"), "query_id", "q")
-
-    def meet(rows_: pa.Table, queries: pa.Table) -> pa.Table:
+            at, blocks, cells = [], [], []
+            for i in range(len(q)):
+                mine = order[i, : n[i]]
+                mine = np.sort(mine[sizes[mine] > 0])
+                spread = np.repeat(first[mine], parts[mine]) + np.concatenate([np.arange(p) for p in parts[mine]] or [np.zeros(0, np.int64)])
+                each = np.repeat(mine, parts[mine])
+                for x in np.unique(spread):
+                    at.append(i)
+                    blocks.append(x)
+                    cells.append(each[spread == x].astype("<i4").tobytes())
+            at = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("vec_id").take(at), b.column("v").take(at), pa.array(blocks, pa.int32()), pa.array(cells, pa.binary())], names=["query_id", "q", "block", "cells"])
+
+    queries = placed.filter("asks").groupBy("vec_id").agg(F.min("v").alias("v"))
+    visits = stored(queries.mapInArrow(visiting, "query_id long, q array<double>, block int, cells binary"))
+    asked = {r["block"]: r["n"] for r in visits.groupBy("block").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # as many rows as there are blocks or cells
+    loads = F.broadcast(spark.createDataFrame([(int(c), int(-(-n // BLOCK_QUERIES))) for c, n in asked.items()], "block int, query_parts int"))
+    homes = F.broadcast(spark.createDataFrame([(c, int(first[c]), int(parts[c])) for c in range(len(sizes))], "cell int, first int, parts int"))
+    home = (F.col("first") + F.pmod(F.xxhash64("vec_id", "v"), F.col("parts"))).cast("int")
+    left = placed.join(homes, "cell").select(home.alias("block"), "vec_id", "v", "codes", "cell").join(loads, "block")
+    left = left.select("block", F.explode(F.sequence(F.lit(0), F.col("query_parts") - 1)).alias("part"), "vec_id", "v", "codes", "cell")
+    right = visits.join(loads, "block").select("block", F.pmod(F.xxhash64("query_id"), F.col("query_parts")).cast("int").alias("part"), "query_id", "q", "cells")
+
+    def meet(rows_: pa.Table, queries_: pa.Table) -> pa.Table:
         out: list = []
-        if len(rows_) and len(queries):
+        if len(rows_) and len(queries_):
             ids = rows_.column("vec_id").to_numpy()
-            x = _matrix(rows_.column("v").combine_chunks(), d)
             packed = np.frombuffer(b"".join(rows_.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)
-            asked_ids, q = queries.column("query_id").to_numpy(), _matrix(queries.column("q").combine_chunks(), d)
-            out = list(best_in_block(ids, x, packed, asked_ids, q, index, k))
+            block = Block(ids, _matrix(rows_.column("v").combine_chunks(), d), packed, rows_.column("cell").to_numpy())
+            q = _matrix(queries_.column("q").combine_chunks(), d)
+            for i, (query, cells) in enumerate(zip(queries_.column("query_id").to_pylist(), queries_.column("cells").to_pylist(), strict=True)):
+                found, scores, _, _ = block.best(query, q[i], np.frombuffer(cells, "<i4"), index, k)
+                out.append((np.full(len(found), query), found, scores))
         cols = [np.concatenate([o[i] for o in out]) if out else np.zeros(0) for i in range(3)]
         return pa.table({"query_id": pa.array(cols[0].astype(np.int64)), "vec_id": pa.array(cols[1].astype(np.int64)), "score": pa.array(cols[2].astype(np.float64))})
 
-    keys = ("cell", "a", "b")
+    keys = ("block", "part")
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, "query_id long, vec_id long, score double")
+    # an id with several vectors may come from several blocks
+    one = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return one.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
