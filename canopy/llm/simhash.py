@@ -13,9 +13,10 @@ differences add up on the way down and a whole run goes as soon as they pass a b
 
 A task returns a spanning forest of the links it found, never all pairs; stars contract the forests to components.
 
-Where a Jaccard similarity is asked for, fingerprints don't serve: at 0.8 two of them differ in about 10 bits. There
-documents with equal sets of shingles are one node, MinHash bands give buckets, and whole texts are compared before
-anything is contracted.
+Where a Jaccard similarity is asked for, the index gives the first pairs, but fingerprints can't tell them all: at 0.8
+two of them differ in about 10 bits. Documents with equal sets of shingles are one node, MinHash bands add buckets, and
+every pair that is near by fingerprint or bucket is verified before anything is contracted: by a sketch that never
+loses a true pair, and then by whole texts.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import in_batches, stored
+from .common import dropped, hot_keys, in_batches, spread_join, stored
 
 SEED = 42
 FANOUT = 8
@@ -44,6 +45,8 @@ SLICE = 1 << 16
 BANDS, BAND = 32, 6
 #: Bands of the first round of pairs, which joins most copies; growth of places apart from round to round.
 FIRST, STRIDE = 4, 16
+#: Members of a bucket in one task; bytes of sketches that are compared at once; bytes of a sketch at most.
+BUCKET, SKETCHES, MOST_PARTS = 2048, 32 << 20, 1 << 16
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -299,13 +302,15 @@ def _rows(turn: int, block: np.ndarray, fp: np.ndarray, home: bool) -> pa.Record
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of an edge (u, v): root is the smallest node reachable.
 
-    Alternates large and small stars; each round is written to the shared folder and cuts the lineage.
+    Alternates large and small stars; each round is written to the shared folder and cuts the lineage. The edges of a
+    node that very many have are dealt to several tasks.
     """
     edges = stored(_ordered(edges))
     before = None
     while True:
-        large = _star(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), large=True)
-        edges = stored(_star(large, large=False))
+        large = stored(_star(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), large=True))
+        last, edges = edges, stored(_star(large, large=False))
+        dropped(last, large)
         now = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if before == now:
             break
@@ -320,8 +325,9 @@ def _ordered(edges: DataFrame) -> DataFrame:
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Joins each node's larger (or else its smaller) neighbours to the smallest node of its neighbourhood."""
-    least = edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    linked = edges.join(least, "u").select("u", "v", "m")
+    least = stored(edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n")))
+    hubs = hot_keys(least, "u", least.agg(F.sum("n")).first()[0] or 0)
+    linked = spread_join(edges, least.select("u", "m"), "u", hubs, F.col("v")).select("u", "v", "m")
     if large:
         out = linked.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -352,46 +358,118 @@ def signature(hashes: np.ndarray) -> list[int]:
     return np.array(keys, np.uint64).view(np.int64).tolist()
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of shingle hashes: the bits that more than half of them set."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), SLICE):
+        counts += np.unpackbits(hashes[at : at + SLICE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def set_hashes(text: str | None, width: int) -> np.ndarray:
+    """The hashes of a text's set of shingles, sorted."""
+    return np.unique(np.array([xxhash.xxh64_intdigest(x, SEED) for x in shingles(text, width)], "<u8"))
+
+
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, text_key, node (a hash of the set of shingles), n (its size) and bands of every row of docs."""
+    """doc_id, text_key, node (a hash of the set of shingles), n (its size), fp (its fingerprint) and bands of every row of docs."""
     frame = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), "text")
-    schema = frame.drop("text").withColumns({"node": F.lit(0).cast("long"), "n": F.lit(0).cast("long"), "bands": F.array(F.lit(0).cast("long"))}).schema
+    schema = frame.drop("text").withColumns({**{c: F.lit(0).cast("long") for c in ("node", "n", "fp")}, "bands": F.array(F.lit(0).cast("long"))}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes, sizes, bands = [], [], []
+            nodes, sizes, fps, bands = [], [], [], []
             for t in b.column("text"):
-                h = np.unique(np.array([xxhash.xxh64_intdigest(x, SEED) for x in shingles(t.as_py(), width)], np.uint64))
+                h = set_hashes(t.as_py(), width)
                 nodes.append(xxhash.xxh64_intdigest(h.tobytes(), SEED))
                 sizes.append(len(h))
+                fps.append(majority(h))
                 bands.append(signature(h))
-            cols = [b.column("doc_id"), b.column("text_key"), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text_key", "node", "n", "bands"])
+            signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+            cols = [b.column("doc_id"), b.column("text_key"), signed(nodes), pa.array(sizes, pa.int64()), signed(fps), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text_key", "node", "n", "fp", "bands"])
 
     return in_batches(frame).mapInArrow(run, schema)
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """One byte for each part of the shingle space, the exclusive or of what falls there; about as many parts as shingles, a power of two.
+
+    Sets that differ in k shingles differ in at most k parts, so sketches that differ in more parts than the shingles
+    that two sets may lack are of sets that are too unlike: nothing is lost by passing them over.
+    """
+    parts = min(MOST_PARTS, max(64, 1 << int(len(hashes) - 1).bit_length()))
+    out = np.zeros(parts, np.uint8)
+    np.bitwise_xor.at(out, (hashes >> np.uint64(8)).astype(np.int64) & (parts - 1), hashes.astype(np.uint8))
+    return out.tobytes()
+
+
+def folded_sketch(x: np.ndarray, parts: int) -> np.ndarray:
+    """A sketch as it would be with fewer parts."""
+    return np.bitwise_xor.reduce(x.reshape(-1, parts), axis=0)
+
+
+def lacked(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """In how many shingles sets of these sizes may differ."""
+    return a + b - 2 * np.ceil(least / (1 + least) * (a + b) - 1e-9).astype(np.int64)
+
+
+def unlike(sketches: list[np.ndarray], n: np.ndarray, x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
+    """Which pairs of places x and y can't have a similarity of least."""
+    parts = np.array([len(s) for s in sketches])
+    common, out = np.minimum(parts[x], parts[y]), np.zeros(len(x), bool)
+    for p in np.unique(common).tolist():
+        own = np.flatnonzero(common == p)
+        used, at = np.unique(np.concatenate([x[own], y[own]]), return_inverse=True)
+        table = np.stack([folded_sketch(sketches[i], p) for i in used])
+        left, right = at[: len(own)], at[len(own) :]
+        step = max(1, SKETCHES // p)
+        for k in range(0, len(own), step):
+            some = own[k : k + step]
+            out[some] = (table[left[k : k + step]] != table[right[k : k + step]]).sum(axis=1) > lacked(n[x[some]], n[y[some]], least)
+    return out
+
+
 def bucket_pairs(buckets: DataFrame, low: int, high: int, least: float) -> DataFrame:
-    """(u, v): nodes of one bucket (key, node, n, root), low to high - 1 places apart in it, whose roots differ and whose sizes allow a similarity of least."""
-    if high == low + 1 == 2:
-        by = Window.partitionBy("key").orderBy("node")
-        near = buckets.select("node", "n", "root", *[F.lag(c).over(by).alias(f"b_{c}") for c in ("node", "n", "root")])
-        sizes = F.least("n", "b_n") >= least * F.greatest("n", "b_n") - 1e-9
-        return near.filter((F.col("root") != F.col("b_root")) & sizes).select(F.col("node").alias("u"), F.col("b_node").alias("v"))
+    """(u, v): nodes of one bucket (key, node, n, root, sketch), low to high - 1 places apart in it, whose roots differ and whose sizes and sketches allow a similarity of least.
+
+    A bucket is cut to blocks of BUCKET places; a task has two blocks at most.
+    """
+    order = Window.partitionBy("key").orderBy("node")
+    placed = buckets.withColumn("place", F.row_number().over(order) - 1).withColumn("block", F.floor(F.col("place") / BUCKET).cast("int"))
+    most = placed.groupBy("key").agg(F.max("block").alias("last"))
+    nearest_, furthest = max(0, -(-(low - BUCKET + 1) // BUCKET)), (high - 1 + BUCKET - 1) // BUCKET
+    here = F.col("block")
+    ahead = F.sequence(F.lit(nearest_), F.least(F.lit(furthest), F.col("last") - here)) if nearest_ == 0 else F.when(F.col("last") - here >= nearest_, F.sequence(F.lit(nearest_), F.least(F.lit(furthest), F.col("last") - here)))
+    back = F.when(here >= max(1, nearest_), F.sequence(F.lit(max(1, nearest_)), F.least(F.lit(furthest), here)))
+    # what meets the block k ahead goes with its own number, what meets the block k behind with that one's
+    meets = F.concat(*[F.coalesce(F.transform(x, f), F.array().cast("array<struct<block:int,ahead:int>>")) for x, f in (
+        (ahead, lambda k: F.struct(here.alias("block"), k.cast("int").alias("ahead"))), (back, lambda k: F.struct((here - k).cast("int").alias("block"), k.cast("int").alias("ahead")))
+    )])
+    dealt = placed.join(most, "key").select("key", F.explode(meets).alias("meet"), "place", "node", "n", "root", "sketch").select("key", "meet.block", "meet.ahead", "place", "node", "n", "root", "sketch")
 
     def meet(table: pa.Table) -> pa.Table:
-        node, n, root = (table.column(c).to_numpy() for c in ("node", "n", "root"))
-        order = np.argsort(node)
-        node, n, root = node[order], n[order], root[order]
+        place, node, n, root = (table.column(c).to_numpy() for c in ("place", "node", "n", "root"))
+        order_ = np.argsort(place)
+        place, node, n, root = place[order_], node[order_], n[order_], root[order_]
+        raw = table.column("sketch").to_pylist()
+        sketches = [np.frombuffer(raw[i], np.uint8) for i in order_]
+        first = int(table.column("block")[0].as_py())
+        left = int(np.searchsorted(place, (first + 1) * BUCKET))
+        skip = left if int(table.column("ahead")[0].as_py()) else 0
         us, vs = [node[:0]], [node[:0]]
-        for d in range(low, min(high, len(node))):
-            x, y = slice(d, None), slice(None, -d)
-            some = (root[x] != root[y]) & (np.minimum(n[x], n[y]) >= least * np.maximum(n[x], n[y]) - 1e-9)
-            us.append(node[x][some])
-            vs.append(node[y][some])
-        return pa.table({"u": np.concatenate(us), "v": np.concatenate(vs)})
+        for i in range(left):
+            lo, hi = max(skip, int(np.searchsorted(place, place[i] + low))), int(np.searchsorted(place, place[i] + high))
+            y = np.arange(lo, hi)
+            y = y[(root[y] != root[i]) & (np.minimum(n[y], n[i]) >= least * np.maximum(n[y], n[i]) - 1e-9)]
+            if len(y):
+                us.append(np.full(len(y), i))
+                vs.append(y)
+        x, y = np.concatenate(us).astype(np.int64), np.concatenate(vs).astype(np.int64)
+        keep = ~unlike(sketches, n, x, y, least)
+        return pa.table({"u": node[x[keep]], "v": node[y[keep]]})
 
-    return buckets.groupBy("key").applyInArrow(meet, "u long, v long")
+    return dealt.groupBy("key", "block", "ahead").applyInArrow(meet, "u long, v long")
 
 
 def alike(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
@@ -406,38 +484,66 @@ def alike(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataF
     return in_batches(both).mapInArrow(run, "u long, v long")
 
 
+def sketched(texts: DataFrame, width: int) -> DataFrame:
+    """node, text and sketch of texts (node, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([sketch(set_hashes(t.as_py(), width)) for t in b.column("text")], pa.binary())], names=["node", "text", "sketch"])
+
+    return in_batches(texts.select("node", "text")).mapInArrow(run, "node long, text string, sketch binary")
+
+
+def fingerprint_pairs(sets: DataFrame, distance: int = 3, parts: int = 2) -> DataFrame:
+    """(u, v): sets of one fingerprint in a chain, and a set of each fingerprint for each link of the Gray index."""
+    chain = sets.select("node", F.lag("node").over(Window.partitionBy("fp").orderBy("node")).alias("v")).filter("v is not null").select(F.col("node").alias("u"), "v")
+    heads = sets.groupBy("fp").agg(F.min("node").alias("node"))
+    found = links(stored(heads.select("fp")), distance, parts)
+    named = found.join(heads.toDF("u", "a"), "u").join(heads.toDF("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    return _ordered(chain.unionByName(named))
+
+
 def similar_sets(sets: DataFrame, docs: DataFrame, width: int, least: float) -> DataFrame | None:
     """(node, root) of all nodes that links of a similarity of at least least join to others; None if there are none.
 
-    sets has node, n, bands and r, the (none, doc_id, text_key) of a row with that set. Every pair of a bucket is
-    verified unless verified links join it already. Nearer places in a bucket come first, so that one large group of
-    copies needs as many pairs as it has members.
+    sets has node, n, fp, bands and r, the (none, doc_id, text_key) of a row with that set. The pairs that the Gray index
+    finds come first. Then every pair of a bucket is verified unless verified links join it already; nearer places in a
+    bucket come first, so that one large group of copies needs as many pairs as it has members.
     """
+    close = stored(fingerprint_pairs(sets.select("node", "fp")))
     members = sets.select("node", "n", F.posexplode("bands").alias("band", "key"))
     shared = members.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select("key")
     members = stored(members.join(shared, "key", "left_semi"))
-    used = members.select("node").distinct().join(sets, "node").select("node", F.col("r.doc_id").alias("d"), F.col("r.text_key").alias("k"))
+    ends = close.select(F.col("u").alias("node")).unionByName(close.select(F.col("v").alias("node"))).unionByName(members.select("node")).distinct()
+    used = ends.join(sets, "node").select("node", F.col("r.doc_id").alias("d"), F.col("r.text_key").alias("k"))
     own = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), "text")
-    texts = stored(own.join(used, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k"))).dropDuplicates(["node"]).select("node", "text"))
-    good = tried = found = None
-    low, high, some = 1, 2, members.filter(F.col("band") < FIRST)
+    texts = stored(sketched(own.join(used, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k"))).dropDuplicates(["node"]), width))
+    words, marks = texts.select("node", "text"), texts.select("node", "sketch")
+    good = found = None
+    tried, low, high, some = close, 1, 2, None
+    pairs = close
     while True:
-        now = some.select("key", "node", "n")
-        now = now.join(found, "node", "left").withColumn("root", F.coalesce("root", "node")) if found else now.withColumn("root", F.col("node"))
-        split = now.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("m")).filter((F.col("a") < F.col("b")) & (F.col("m") > low))
-        if some is members and not split.limit(1).count():
-            return found
-        pairs = _ordered(bucket_pairs(now.join(split.select("key"), "key", "left_semi"), low, high, least))
-        pairs = stored(pairs.join(tried, ["u", "v"], "left_anti") if tried else pairs)
-        tried = tried.unionByName(pairs) if tried else pairs
-        passed = stored(alike(pairs, texts, width, least))
+        passed = stored(alike(pairs, words, width, least))
         if passed.limit(1).count():
             good = good.unionByName(passed) if good else passed
-            found = stored(components(good))
-        if some is not members:
+            found, last = stored(components(good)), found
+            dropped(last)
+        # the index, then a few bands, then all of them further and further apart
+        if some is None:
+            some = members.filter(F.col("band") < FIRST)
+        elif some is not members:
             some = members
         else:
             low, high = high, high * STRIDE
+        now = some.select("key", "node", "n")
+        now = now.join(found, "node", "left").withColumn("root", F.coalesce("root", "node")) if found else now.withColumn("root", F.col("node"))
+        split = now.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("m")).filter((F.col("a") < F.col("b")) & (F.col("m") > low))
+        if some is members and not split.limit(1).count():
+            dropped(members, texts)
+            return found
+        marked = now.join(split.select("key"), "key", "left_semi").join(marks, "node")
+        pairs = stored(_ordered(bucket_pairs(marked, low, high, least)).join(tried, ["u", "v"], "left_anti"))
+        tried = tried.unionByName(pairs)
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 3, parts: int = 2) -> DataFrame:
@@ -449,22 +555,23 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 3, parts: i
     """
     own = docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key"))
     rows = stored(fingerprints(own, width, keep=("doc_id", "text_key")))
-    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    edges = links(stored(nodes.select("fp")), distance, parts)
+    nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")))
+    edges = links(nodes.select("fp"), distance, parts)
     found = components(edges)
     linked = nodes.join(found, nodes.fp == found.node, "left")
     of_fp = linked.select("fp", F.coalesce("root", "fp").alias("root"), "first_id")
     least_id = of_fp.filter(F.col("root") != F.col("fp")).groupBy("root").agg(F.min("first_id").alias("rest_id"))
     heads = of_fp.filter("fp = root").select("root", "first_id").join(least_id, "root", "left").select("root", F.least("first_id", "rest_id").alias("component_id"))
     named = of_fp.select("fp", "root").join(heads, "root")
-    return rows.join(named, "fp").select("doc_id", "text_key", "fp", "root", "component_id")
+    hot = hot_keys(nodes, "fp", nodes.agg(F.sum("n")).first()[0] or 0)
+    return spread_join(rows, named, "fp", hot, F.xxhash64("doc_id", "text_key")).select("doc_id", "text_key", "fp", "root", "component_id")
 
 
 def deduplicated(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
     """docs with one row of each component of links of Jaccard similarity least: that of smallest doc_id (null ids last), then of smallest text hash."""
     rows = stored(shingle_sets(docs, width))
     one = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
-    sets = stored(rows.groupBy("node").agg(F.min(one).alias("r"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    sets = stored(rows.groupBy("node").agg(F.min(one).alias("r"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
     found = similar_sets(sets, docs, width, least)
     rooted = sets.select("node", "r").join(found, "node", "left").select(F.coalesce("root", "node").alias("root"), "r") if found else sets.select(F.col("node").alias("root"), "r")
     kept = stored(rooted.groupBy("root").agg(F.min("r").alias("r")).select("r.doc_id", "r.text_key"))
