@@ -9,11 +9,11 @@ from .values import collation, flag, number_text, numprefix, text, truthy, whole
 
 
 def minus(a: Column) -> Column:
-    return number_text(F.negate(numprefix(a)) + F.lit(0.0))
+    return number_text(F.negate(numprefix(a)) + F.lit(0.0), finite=True)
 
 
 def plus(a: Column) -> Column:
-    return number_text(numprefix(a))
+    return number_text(numprefix(a), finite=True)
 
 
 def negation(a: Column) -> Column:

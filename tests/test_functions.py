@@ -23,7 +23,7 @@ def check(spark, cases):
 
 def test_values(spark):
     text = lambda s: V.number_text(V.numprefix(L(s)))
-    numbers = {"007": "7", "7.500": "7.5", ".5": ".5", "1E2": "100", "-.25": "-.25", "0.0": "0", "3apples": "3", "2e3": "2", "": "0", "abc": "0", "+4": "4", "1E-5": ".00001", "5.": "5", "-0.5x": "-.5", "1E20": "100000000000000000000", "1E-30": "0"}
+    numbers = {"007": "7", "7.500": "7.5", ".5": ".5", "1E2": "100", "-.25": "-.25", "0.0": "0", "3apples": "3", "2e3": "2", "": "0", "abc": "0", "+4": "4", "1E-5": ".00001", "5.": "5", "-0.5x": "-.5", "1E20": "100000000000000000000", "1E-30": "." + "0" * 29 + "1", "1.25E-7": ".000000125", "-12345678.5": "-12345678.5", "1E400": ""}
     check(spark, [(text(s), t) for s, t in numbers.items()])
     truths = {"": False, "0": False, "0.00": False, "abc": False, "3apples": True, "2e3": True, "-1": True}
     check(spark, [(V.truthy(L(s)), t) for s, t in truths.items()])
