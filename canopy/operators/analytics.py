@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from .lineage import cut
 
-TWO32 = 4294967296
+# Fixed values of the hashes: a fold by 31 and 32-bit FNV-1a.
+TWO32, FOLD, FNV_BASIS, FNV_PRIME = 4294967296, 31, 2166136261, 16777619
 
 
 # --- bit sets -------------------------------------------------------------------------------------------------
@@ -93,7 +94,7 @@ def _codes(text: Column) -> Column:
 
 def fold_hash(text: Column, seed: int) -> Column:
     """h * 31 + code, modulo 2**32, from seed on."""
-    return F.aggregate(_codes(text), F.lit(seed).cast("bigint"), lambda h, c: F.pmod(h * 31 + c, F.lit(TWO32)))
+    return F.aggregate(_codes(text), F.lit(seed).cast("bigint"), lambda h, c: F.pmod(h * FOLD + c, F.lit(TWO32)))
 
 
 def bloom_bits(text: Column, size: int, k: int = 3) -> Column:
@@ -116,7 +117,7 @@ def bloom_maybe(df: DataFrame, text: str, filter_: DataFrame, size: int, k: int
 
 def fnv(text: Column) -> Column:
     """32-bit FNV-1a."""
-    return F.aggregate(_codes(text), F.lit(2166136261), lambda h, c: F.pmod(h.bitwiseXOR(c.cast("bigint")) * 16777619, F.lit(TWO32)))
+    return F.aggregate(_codes(text), F.lit(FNV_BASIS), lambda h, c: F.pmod(h.bitwiseXOR(c.cast("bigint")) * FNV_PRIME, F.lit(TWO32)))
 
 
 def merkle(df: DataFrame, pos: str, text: str) -> DataFrame:
@@ -143,6 +144,7 @@ def merkle(df: DataFrame, pos: str, text: str) -> DataFrame:
             F.min_by("path", "lo").alias("path"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("lo", "hash"))), lambda x: x["hash"]), "").alias("both")
         )
         made = up.select(F.lit(level).alias("level"), F.col("up.a").alias("lo"), F.col("up.b").alias("hi"), fnv(F.col("both")).cast("string").alias("hash"), "path")
+        made = cut(made)
         out = out.unionByName(made.drop("path"))
         below = made.unionByName(placed.filter(F.col("level") == level).select("level", "lo", "hi", "hash", "path"))
     return out
@@ -169,34 +171,35 @@ def graph_counts(edges: DataFrame, directed: bool) -> DataFrame:
     return nodes.crossJoin(edges.agg(F.count_distinct(ends).alias("edges")))
 
 
-def bfs(edges: DataFrame, start: list, most_levels: int = 64) -> DataFrame:
-    """node and level (0 at the start) of all reachable nodes; each level is one join and one anti join."""
+def bfs(edges: DataFrame, start: list) -> DataFrame:
+    """node and level (0 at the start) of all reachable nodes; each level is one join and one anti join, until none is new."""
     spark = edges.sparkSession
     kind = dict(edges.dtypes)["src"]
     known = spark.createDataFrame([(s, 0) for s in start], f"node {kind}, level int")
-    front = known
-    for level in range(1, most_levels + 1):
+    front, level = known, 0
+    while True:
+        level += 1
         step = front.join(edges, front.node == edges.src).select(F.col("dst").alias("node")).distinct()
         front = cut(step.join(known, "node", "left_anti").withColumn("level", F.lit(level)))
         if front.isEmpty():
-            break
+            return known
         known = known.unionByName(front)
-    return known
+        if level % 16 == 0:
+            known = cut(known)
 
 
-def connected(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
-    """node and component (its smallest node), by taking the neighbourhood's smallest label and following labels twice as far each round."""
+def connected(edges: DataFrame) -> DataFrame:
+    """node and component (its smallest node), by taking the neighbourhood's smallest label and following labels twice as far each round, until none changes."""
     both = graph_edges(edges.withColumn("weight", F.lit(1.0)), directed=False).select("src", "dst")
     labels = cut(both.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node")))
-    for _ in range(most_rounds):
+    changed = True
+    while changed:
         near = both.join(labels, both.dst == labels.node).groupBy("src").agg(F.min("label").alias("m"))
         low = labels.join(near, labels.node == near.src, "left").select("node", "label", F.least("label", F.coalesce("m", "label")).alias("to"))
         far = low.select(F.col("node").alias("to"), F.col("to").alias("further"))
         now = cut(low.join(far, "to", "left").select("node", "label", F.least("to", F.coalesce("further", "to")).alias("new")))
         changed = now.filter("label <> new").limit(1).count()
         labels = now.select("node", F.col("new").alias("label"))
-        if not changed:
-            break
     return labels.withColumnRenamed("label", "component")
 
 

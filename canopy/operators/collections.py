@@ -144,17 +144,16 @@ def ring(log: DataFrame, capacity: int) -> DataFrame:
 
 
 def lru(log: DataFrame, capacity: int) -> DataFrame:
-    """id, key and value kept by a cache: of the keys, those used last; both gets and puts count as use.
+    """id, key, value and back (1 for the last used) of what a cache holds in the end; gets that find their key and all puts count as use.
 
-    For logs whose gets find their key (as in a cache that holds all keys that are read).
+    Whether a get finds its key depends on all that came before, so each id's log is replayed.
     """
-    by_key = log.groupBy("id", "key").agg(F.max("seq").alias("used"), F.max_by("value", F.when(F.col("op") == "put", F.col("seq"))).alias("value"))
-    back = Window.partitionBy("id").orderBy(F.desc("used"))
-    return by_key.withColumn("back", F.row_number().over(back)).filter(F.col("back") <= capacity).select("id", "key", "value", "back")
+    rows = lru_replay(log, capacity).select("id", F.posexplode("held").alias("at", "x"), F.size("held").alias("n"))
+    return rows.select("id", "x.key", "x.value", (F.col("n") - F.col("at")).alias("back"))
 
 
 def lru_replay(log: DataFrame, capacity: int) -> DataFrame:
-    """id, hits, misses and keys (least used first) of a cache replayed operation by operation."""
+    """id, hits, misses, keys (least used first) and held (keys and values, in that order) of a cache replayed operation by operation."""
 
     def replay(pdf: pd.DataFrame) -> pd.DataFrame:
         held: dict = {}
@@ -171,10 +170,10 @@ def lru_replay(log: DataFrame, capacity: int) -> DataFrame:
             held[key] = value
             if len(held) > capacity:
                 held.pop(next(iter(held)))
-        return pd.DataFrame({"id": [pdf["id"].iloc[0]], "hits": [hits], "misses": [misses], "keys": [",".join(map(str, held))]})
+        return pd.DataFrame({"id": [pdf["id"].iloc[0]], "hits": [hits], "misses": [misses], "keys": [",".join(map(str, held))], "held": [[{"key": k, "value": v} for k, v in held.items()]]})
 
-    kind = dict(log.dtypes)["id"]
-    return log.groupBy("id").applyInPandas(replay, f"id {kind}, hits long, misses long, keys string")
+    kinds = dict(log.dtypes)
+    return log.groupBy("id").applyInPandas(replay, f"id {kinds['id']}, hits long, misses long, keys string, held array<struct<key:{kinds['key']},value:{kinds['value']}>>")
 
 
 def heap(df: DataFrame, group: list[str], value: str, k: int) -> DataFrame:

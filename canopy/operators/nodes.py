@@ -2,8 +2,8 @@
 
 Only nodes with a value are rows; interior nodes follow from their descendants. Everything is DataFrame to DataFrame:
 lookups are joins, siblings and walks are windows in collation order, deletion is an anti join. Windows are partitioned
-by tree and parent path, so that one hot tree still spreads over its branches; only the depth-first walk of a whole
-tree sorts by tree name.
+by tree and parent path, so that one hot tree still spreads over its branches; the depth-first walk of whole trees and
+the as-of join work on ranges of their order, whose ends meet through a table of one row for each range.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.strings import reference
 from ..functions.values import collation, collation_key, number_text, text
-from .lineage import cut
+from .lineage import ranged
 
 SCHEMA = "name string, subs array<string>, value string"
 
@@ -124,14 +124,15 @@ def order(nodes: DataFrame, wanted: DataFrame, backward: bool = False) -> DataFr
 
     From the empty sub the first follows; backwards nothing does.
     """
-    subs = siblings(nodes).select("name", "parent", F.col("sub").alias("__s"))
-    here, there = collation(F.col("sub")), collation(F.col("__s"))
-    beyond = (there < here) & (F.col("sub") != "") if backward else there > here
-    pick = F.max_by if backward else F.min_by
+    subs = with_interior(nodes).filter(F.size("subs") > 0).select("name", F.slice("subs", F.lit(1), F.size("subs") - 1).alias("parent"), F.element_at("subs", -1).alias("sub"))
     asked = wanted.select("name", "parent", "sub").distinct()
-    # one row for each sibling on the asked side, folded to the nearest
-    near = asked.join(subs, ["name", "parent"]).filter(beyond).groupBy("name", "parent", "sub").agg(pick("__s", there).alias("found"))
-    return wanted.join(near, ["name", "parent", "sub"], "left").withColumn("found", F.coalesce("found", F.lit("")))
+    both = subs.withColumn("own", F.lit(True)).unionByName(asked.withColumn("own", F.lit(False)))
+    at = collation(F.col("sub"))
+    # subs and asked places in one order, walked against the direction; an asked place comes before its equal
+    rest = Window.partitionBy("name", "parent").orderBy(at.asc() if backward else at.desc(), "own").rowsBetween(Window.unboundedPreceding, -1)
+    near = both.withColumn("found", F.last(F.when(F.col("own"), F.col("sub")), ignorenulls=True).over(rest)).filter("not own")
+    found = F.when(F.col("sub") == "", F.lit(None)).otherwise(F.col("found")) if backward else F.col("found")
+    return wanted.join(near.select("name", "parent", "sub", found.alias("found")), ["name", "parent", "sub"], "left").withColumn("found", F.coalesce("found", F.lit("")))
 
 
 def first_last(nodes: DataFrame) -> DataFrame:
@@ -141,18 +142,12 @@ def first_last(nodes: DataFrame) -> DataFrame:
 
 
 def walk(nodes: DataFrame) -> DataFrame:
-    """nodes in depth-first order within a tree: ref, next and previous as references (empty at the ends)."""
-    shown = nodes.withColumn("ref", reference(F.col("name"), F.col("subs")))
-    by = Window.partitionBy("name").orderBy(collation_key(F.col("subs")))
-    return shown.withColumns({"next": F.coalesce(F.lead("ref").over(by), F.lit("")), "previous": F.coalesce(F.lag("ref").over(by), F.lit(""))})
+    """nodes in depth-first order within a tree: ref, next and previous as references (empty at the ends).
 
-
-def walk_spread(nodes: DataFrame) -> DataFrame:
-    """As walk, for trees too large for one task: ranges of the order are walked apart, and the ends of each range meet
-    the next one's through a table of one row for each range and tree."""
+    Ranges of the order are walked apart, and the ends of each range meet the next one's.
+    """
     shown = nodes.withColumn("ref", reference(F.col("name"), F.col("subs"))).withColumn("__key", collation_key(F.col("subs")))
-    # fixed behind the checkpoint: the ranges come from a sample
-    placed = cut(shown.repartitionByRange("name", "__key").withColumn("__range", F.spark_partition_id()))
+    placed = ranged(shown, "name", "__key")
     by, across = Window.partitionBy("name", "__range").orderBy("__key"), Window.partitionBy("name").orderBy("__range")
     ends = placed.groupBy("name", "__range").agg(F.min_by("ref", "__key").alias("first"), F.max_by("ref", "__key").alias("last"))
     ends = ends.select("name", "__range", F.lead("first").over(across).alias("__after"), F.lag("last").over(across).alias("__before"))
@@ -182,9 +177,24 @@ def increment(df: DataFrame, group: list[str], by: list[str], step: Column | int
 
 
 def as_of(left: DataFrame, right: DataFrame, on: list[str], at: str, value: str) -> DataFrame:
-    """left with the value of the last row of right at or before its ``at``: the predecessor, in one sort of both sides."""
+    """left with the value of the last row of right at or before its ``at`` (same ``on``, or any row if that is empty).
+
+    Both sides are sorted together in ranges; a range without a row of right before a place takes the last one of the
+    ranges before it. Of several rows of right at one place any may count. Null values count as no row.
+    """
     rows = left.withColumns({"__v": F.lit(None).cast(dict(right.dtypes)[value]), "__left": F.lit(1)}).unionByName(
         right.select(*on, at, F.col(value).alias("__v")).withColumn("__left", F.lit(0)), allowMissingColumns=True
     )
-    order_ = Window.partitionBy(*on).orderBy(at, "__left").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn(value, F.last("__v", ignorenulls=True).over(order_)).filter("__left = 1").drop("__v", "__left")
+    placed = ranged(rows, *on, at, "__left")
+    within = Window.partitionBy("__range", *on).orderBy(at, "__left").rowsBetween(Window.unboundedPreceding, 0)
+    ends = placed.groupBy("__range", *on).agg(F.max_by("__v", F.when(F.col("__v").isNotNull(), F.struct(at, "__left"))).alias("__last"))
+    before = Window.partitionBy(*on).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    # a row for each range and group
+    own = [f"__on{i}" for i in range(len(on))]
+    carried = ends.select(F.col("__range").alias("__r"), *[F.col(c).alias(k) for c, k in zip(on, own, strict=True)], F.last("__last", ignorenulls=True).over(before).alias("__before"))
+    same = F.col("__range") == F.col("__r")
+    for c, k in zip(on, own, strict=True):
+        same = same & F.col(c).eqNullSafe(F.col(k))
+    met = placed.join(carried, same, "left").drop("__r", *own)
+    found = F.coalesce(F.last("__v", ignorenulls=True).over(within), "__before")
+    return met.withColumn(value, found).filter("__left = 1").drop("__v", "__left", "__range", "__before")

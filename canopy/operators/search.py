@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import numbered
+
 # Fixed values of the ranking functions and of the tokenizer.
 K1, B, RRF_K = 1.2, 0.75, 60
 SEPARATORS = "[\\s,.!?;:()\\[\\]{}\"']"
@@ -68,10 +70,12 @@ def bm25(docs: DataFrame, query: str, k: int | None = 10, doc_id: str = "doc_id"
 
 
 def ranked(hits: DataFrame, k: int | None) -> DataFrame:
-    """hits (doc_id, score) with their rank, the best k of them."""
+    """hits (doc_id, score) with their rank, the best k of them, or all."""
     order = [F.desc("score"), "doc_id"]
-    best = hits if k is None else hits.orderBy(*order).limit(k)
-    return best.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    if k is None:
+        return numbered(hits, order, "rank")
+    # k rows, sorted in one task
+    return hits.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
 def dot(a: Column, b: Column) -> Column:

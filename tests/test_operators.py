@@ -27,7 +27,11 @@ def test_walks(spark, tree):
     assert by == {"2": ("10", ""), "10": ("30", "2"), "30": ("A", "10"), "A": ("", "30")}
     walk = {r["ref"]: r["next"] for r in nodes.walk(tree).filter("name = '^Q'").collect()}
     assert walk == {"^Q(1)": "^Q(1,2)", "^Q(1,2)": '^Q(3,"z","w")', '^Q(3,"z","w")': ""}
-    assert rows(nodes.walk_spread(tree), "ref", "next", "previous") == rows(nodes.walk(tree), "ref", "next", "previous")
+    deep = nodes.of_rows(spark, [(n, [str(i), str(j)], "") for n in ("^A", "^B") for i in range(40) for j in range(5)])
+    refs = [f"{n}({i},{j})" for n in ("^A", "^B") for i in range(40) for j in range(5)]
+    after = {r["ref"]: (r["next"], r["previous"]) for r in nodes.walk(deep).collect()}
+    for k, ref in enumerate(refs):
+        assert after[ref] == (refs[k + 1] if k % 200 != 199 else "", refs[k - 1] if k % 200 else "")
     data = rows(nodes.with_interior(tree).filter("name = '^Q'").select(F.array_join("subs", "/").alias("p"), "data"), "p", "data")
     assert data == [("", 10), ("1", 11), ("1/2", 1), ("3", 10), ("3/z", 10), ("3/z/w", 1)]
     asked = spark.createDataFrame([("^C", [], "10"), ("^C", [], ""), ("^C", [], "15"), ("^C", [], "A"), ("^Q", ["3"], "a"), ("^N", [], "1")], "name string, parent array<string>, sub string")
@@ -198,3 +202,38 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert rows(spark.table("queue_out"), "id", "seq", "value") == [("q", 2, "a"), ("q", 5, "b")]
+
+
+def test_order_from_places_that_need_not_exist(spark):
+    t = nodes.of_rows(spark, [("^A", [s], "") for s in ("1", "3", "10", "b")])
+    asked = [("", "1", ""), ("0", "1", ""), ("1", "3", ""), ("2", "3", "1"), ("3", "10", "1"), ("a", "b", "10"), ("b", "", "10"), ("c", "", "b")]
+    want = spark.createDataFrame([("^A", [], s) for s, _, _ in asked], "name string, parent array<string>, sub string")
+    for back, at in ((False, 1), (True, 2)):
+        got = {r["sub"]: r["found"] for r in nodes.order(t, want, back).collect()}
+        assert got == {x[0]: x[at] for x in asked}
+
+
+def test_as_of_across_ranges_groups_and_nulls(spark):
+    left = spark.createDataFrame([(g, t) for g in ("a", None) for t in range(100)], "g string, t int")
+    right = spark.createDataFrame([("a", 10, 1.0), ("a", 11, None), ("a", 60, 2.0), (None, 0, 9.0)], "g string, t int, v double")
+    got = {(r["g"], r["t"]): r["v"] for r in nodes.as_of(left, right, ["g"], "t", "v").collect()}
+    assert got == {("a", t): None if t < 10 else 1.0 if t < 60 else 2.0 for t in range(100)} | {(None, t): 9.0 for t in range(100)}
+    assert nodes.as_of(left.limit(0), right, ["g"], "t", "v").count() == 0
+
+
+def test_long_chains_are_followed_to_their_end(spark):
+    chain = spark.createDataFrame([(i, i + 1, 1.0) for i in range(90)], "src long, dst long, weight double")
+    levels = {r["node"]: r["level"] for r in A.bfs(A.graph_edges(chain, directed=True), [0]).collect()}
+    assert levels == {i: i for i in range(91)}
+    assert {r["component"] for r in A.connected(chain).collect()} == {0}
+
+
+def test_ranks_of_all_hits(spark):
+    hits = spark.createDataFrame([(i, float(i % 7)) for i in range(200)], "doc_id long, score double")
+    got = {r["doc_id"]: r["rank"] for r in search.ranked(hits, None).collect()}
+    assert got == {d: k for k, d in enumerate(sorted(range(200), key=lambda i: (-(i % 7), i)), 1)}
+
+
+def test_cache_of_keys_that_were_never_put(spark):
+    log = spark.createDataFrame([(1, k, o, x, x) for k, (o, x) in enumerate([("get", "z"), ("put", "a"), ("put", "b"), ("get", "a"), ("put", "c"), ("get", "b")])], "id int, seq int, op string, key string, value string")
+    assert sorted((r["key"], r["back"]) for r in K.lru(log, 2).collect()) == [("a", 2), ("c", 1)]
