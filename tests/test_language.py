@@ -72,3 +72,19 @@ def test_routines_files_and_trees(spark, tmp_path):
     assert [tuple(r) for r in s.nodes().collect()] == [("^A", ["1"], "2")]
     s.special["ETRAP"] = 'WRITE "trapped"'
     assert s.run("WRITE $NOPE(1)") == "trapped" and s.special["ECODE"].startswith("M9999")
+
+
+def test_attached_trees_are_asked_by_filters(spark):
+    s = Session(spark)
+    s.attach(nodes.of_rows(spark, [("^N", ["2"], "b"), ("^N", ["10"], "c"), ("^N", ["10", "x"], "d"), ("^N", ["k"], "e")]))
+    assert s.run('WRITE $ORDER(^N("")),$ORDER(^N(2)),$ORDER(^N(10)),$ORDER(^N("k")),"/",$ORDER(^N("k"),-1),$ORDER(^N(2),-1)') == "210k/10"
+    assert s.run('WRITE $DATA(^N(2)),$DATA(^N(10)),$DATA(^N(5)),$QUERY(^N(10)),$QUERY(^N("k"))') == '1110^N(10,"x")'
+
+
+def test_loops_and_what_a_session_refuses(spark):
+    assert run(spark, "FOR I=1:1:3000 SET X=I\nWRITE X") == "3000"
+    for code in ("ZSYSTEM", "ZEDIT", "ZBREAK X", "WRITE $NI_NOPE(1)"):
+        with pytest.raises(SyntaxProblem):
+            run(spark, code)
+    with pytest.raises(SyntaxProblem):
+        column('$NI_SET("create","x")')
