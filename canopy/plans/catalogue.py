@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import conditions, dates, maths, operators, patterns, strings, unicode, values
 from ..operators import analytics, collections, nodes, search
 from ..operators.transactions import Transactions
+from ..sources.tables import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -31,10 +32,6 @@ def query(sql: str | None = None):
     return add
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def number(c: Column, digits: int = 6) -> Column:
     """A value as a rounded double, to compare with SQL's own numbers."""
     return F.round(c.cast("double"), digits)
@@ -84,7 +81,7 @@ SELECT l_orderkey, l_linenumber, round(q + s, 6) AS added, round(q - s, 6) AS su
 FROM (SELECT l_orderkey, l_linenumber, l_quantity AS q, l_discount AS s, CAST(l_linenumber - 1 AS DOUBLE) AS m FROM lineitem)
 """)
 def expr_arithmetic(spark, sf_dir):
-    t = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("string").alias("q"), F.col("l_discount").cast("string").alias("s"), (F.col("l_linenumber") - 1).cast("string").alias("m"))
+    t = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("string").alias("q"), F.col("l_discount").cast("string").alias("s"), (F.col("l_linenumber") - 1).cast("string").alias("m")))
     q, s, m = F.col("q"), F.col("s"), F.col("m")
     back = operators.minus(q)
     made = {
@@ -200,12 +197,12 @@ def reference_functions(spark, sf_dir):
 SELECT doc_id, length(text) AS points, octet_length(encode(left(text, 1))) AS first_bytes, substr(text, 6, 10) AS part, reverse(text) AS reversed,
        translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS raised,
        regexp_full_match(split_part(text, ' ', 2), '([A-Za-z]|[^\\x00-\\x7f])+') AS alpha, regexp_full_match(left(text, 1), '[0-9]+') AS digit,
-       CASE WHEN length(text) > 2 THEN unicode(substr(text, 3, 1)) ELSE -1 END AS point, chr(unicode(left(text, 1))) AS again
-FROM documents WHERE text IS NOT NULL AND text <> ''
+       CASE WHEN length(text) > 2 THEN unicode(substr(text, 3, 1)) ELSE -1 END AS point, CASE WHEN text = '' THEN '' ELSE chr(unicode(left(text, 1))) END AS again
+FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)
 """.replace("\\\\", "\\"))
 def unicode_functions(spark, sf_dir):
     c = F.col("text")
-    t = table(spark, sf_dir, "documents").filter("text is not null and text <> ''")
+    t = table(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))
     made = {
         "points": unicode.count(c).cast("bigint"), "first_bytes": unicode.char_bytes(c).cast("bigint"), "part": unicode.slice_of(c, 5, 10), "reversed": unicode.reverse(c), "raised": unicode.upper(c),
         "alpha": unicode.is_alpha(strings.piece(c, " ", 2)), "digit": unicode.is_digit(F.substring(c, 1, 1)), "point": unicode.code_point(c, 2), "again": unicode.from_code_point(unicode.code_point(c, 0)),
@@ -223,7 +220,7 @@ SELECT l_orderkey, l_linenumber, round(abs(-q), 6) AS absolute, round(acos(d), 6
 FROM (SELECT l_orderkey, l_linenumber, l_quantity AS q, l_discount AS d FROM lineitem)
 """)
 def math_functions(spark, sf_dir):
-    t = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("string").alias("q"), F.col("l_discount").cast("string").alias("d"))
+    t = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("string").alias("q"), F.col("l_discount").cast("string").alias("d")))
     q, d = F.col("q"), F.col("d")
     made = {
         "absolute": maths.zabs(operators.minus(q)), "arccos": maths.arccos(d), "arcsin": maths.arcsin(d), "arctan": maths.arctan(q), "cos": maths.cos(q), "exp": maths.exp(d), "ln": maths.ln(q),
@@ -317,14 +314,6 @@ def node_query(spark, sf_dir):
     return nodes.walk(tree(spark, sf_dir)).select("ref", "next", "previous")
 
 
-@query("""
-WITH t AS (SELECT *, '^G(' || r || ',' || n || ',' || c || ',' || o || ')' AS ref FROM (""" + _TREE + """))
-SELECT ref, coalesce(lead(ref) OVER (ORDER BY r, n, c, o), '') AS next, coalesce(lag(ref) OVER (ORDER BY r, n, c, o), '') AS previous FROM t
-""")
-def node_query_spread(spark, sf_dir):
-    return nodes.walk_spread(tree(spark, sf_dir)).select("ref", "next", "previous")
-
-
 @query("SELECT c || '/' || o AS path, v AS value FROM (" + _TREE + ") WHERE r = 1 AND n = 1")
 def node_descendants(spark, sf_dir):
     return nodes.descendants(tree(spark, sf_dir), "^G", "1", "1").select(F.array_join("subs", "/").alias("path"), "value")
@@ -374,24 +363,13 @@ def node_transactions(spark, sf_dir):
     return t.view().select("name", F.array_join("subs", "/").alias("path"), "value")
 
 
-@query("""
-SELECT l_orderkey, l_linenumber, (SELECT arg_max(o_totalprice, o_orderdate) FROM (SELECT CAST(o_orderdate AS DATE) AS o_orderdate, max(o_totalprice) AS o_totalprice FROM orders GROUP BY 1) d
-       WHERE d.o_orderdate <= CAST(l_shipdate AS DATE)) AS price
-FROM lineitem WHERE l_suppkey % 10 = 3 AND l_linenumber = 1
-""")
-def as_of_join(spark, sf_dir):
-    days = table(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.max("o_totalprice").alias("price")).withColumn("g", F.lit(1))
-    asked = table(spark, sf_dir, "lineitem").filter("l_suppkey % 10 = 3 and l_linenumber = 1").select("l_orderkey", "l_linenumber", F.to_date("l_shipdate").alias("day"), F.lit(1).alias("g"))
-    return nodes.as_of(asked, days, ["g"], "day", "price").select("l_orderkey", "l_linenumber", "price")
-
-
 @query("""
 SELECT l_orderkey, l_linenumber, d.price FROM lineitem l ASOF LEFT JOIN (SELECT CAST(o_orderdate AS DATE) AS day, max(o_totalprice) AS price FROM orders GROUP BY 1) d ON CAST(l.l_shipdate AS DATE) >= d.day
 """)
-def as_of_join_whole(spark, sf_dir):
-    days = table(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.max("o_totalprice").alias("price")).withColumn("g", F.lit(1))
-    asked = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.to_date("l_shipdate").alias("day"), F.lit(1).alias("g"))
-    return nodes.as_of(asked, days, ["g"], "day", "price").select("l_orderkey", "l_linenumber", "price")
+def as_of_join(spark, sf_dir):
+    days = table(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.max("o_totalprice").alias("price"))
+    asked = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.to_date("l_shipdate").alias("day"))
+    return nodes.as_of(asked, days, [], "day", "price").select("l_orderkey", "l_linenumber", "price")
 
 
 @query("SELECT user_id AS id, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS counter FROM events")
@@ -497,11 +475,19 @@ def collection_stack_rest(spark, sf_dir):
     return r.select("id", F.col("place").cast("bigint").alias("place"), number(F.col("value"), 4).alias("value"))
 
 
-@query()
+#: A user's events in order as operations, replayed one at a time in SQL.
+_STEPS = "o AS (SELECT user_id AS id, event_type AS kind, event_id AS seq, CAST(round(value, 4) AS VARCHAR) AS v, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events)"
+
+
+@query("WITH RECURSIVE " + _STEPS + """,
+d AS (SELECT id, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS held FROM (SELECT DISTINCT id FROM o)
+  UNION ALL SELECT o.id, o.k, CASE kind WHEN 'click' THEN [seq] || held WHEN 'purchase' THEN held[2:] WHEN 'error' THEN held[:len(held) - 1] ELSE held || [seq] END FROM d JOIN o ON o.id = d.id AND o.k = d.k + 1)
+SELECT id, array_to_string(held, ',') AS items, len(held) AS len FROM (SELECT id, arg_max(held, k) AS held FROM d GROUP BY id)
+""")
 def collection_deque(spark, sf_dir):
     ops = {"click": "addfirst", "view": "addlast", "purchase": "popfirst", "error": "poplast"}
     op = F.coalesce(F.create_map(*[F.lit(x) for p in ops.items() for x in p])[F.col("kind")], F.lit("addlast"))
-    return collections.deques(event_log(spark, sf_dir).withColumn("op", op))
+    return collections.deques(event_log(spark, sf_dir).withColumns({"op": op, "value": F.col("seq").cast("string")}))
 
 
 @query("SELECT user_id AS id, event_type AS value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS b FROM events) WHERE b <= 5")
@@ -510,19 +496,27 @@ def collection_ring(spark, sf_dir):
     return r.select("id", "value", F.col("place").cast("bigint").alias("place"))
 
 
-@query("""
-SELECT id, key, back FROM (SELECT id, key, row_number() OVER (PARTITION BY id ORDER BY used DESC) AS back
-  FROM (SELECT user_id AS id, event_type AS key, max(event_id) AS used FROM events GROUP BY ALL)) WHERE back <= 3
-""")
+#: A cache of two keys for each user: even events put, odd ones get.
+_CACHE = "WITH RECURSIVE " + _STEPS + """,
+c AS (SELECT id, CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS held, 0 AS hits, 0 AS misses FROM (SELECT DISTINCT id FROM o)
+  UNION ALL SELECT o.id, o.k, CASE WHEN seq % 2 = 1 AND NOT list_contains(held, kind) THEN held ELSE (list_filter(held, lambda x: x <> kind) || [kind])[-2:] END,
+    hits + CAST(seq % 2 = 1 AND list_contains(held, kind) AS INT), misses + CAST(seq % 2 = 1 AND NOT list_contains(held, kind) AS INT) FROM c JOIN o ON o.id = c.id AND o.k = c.k + 1),
+z AS (SELECT id, arg_max(held, k) AS held, max(hits) AS hits, max(misses) AS misses FROM c GROUP BY id)
+"""
+
+
+def _cache_log(spark, sf_dir) -> DataFrame:
+    return event_log(spark, sf_dir).select("id", "seq", F.col("kind").alias("key"), F.when(F.col("seq") % 2 == 0, "put").otherwise("get").alias("op"), "value")
+
+
+@query(_CACHE + "SELECT id, held[i] AS key, len(held) - i + 1 AS back FROM (SELECT id, held, unnest(range(1, len(held) + 1)) AS i FROM z)")
 def collection_lru(spark, sf_dir):
-    log = event_log(spark, sf_dir).select("id", "seq", F.col("kind").alias("key"), F.when(F.col("seq") % 2 == 0, "put").otherwise("get").alias("op"), "value")
-    return collections.lru(log, 3).select("id", "key", F.col("back").cast("bigint").alias("back"))
+    return collections.lru(_cache_log(spark, sf_dir), 2).select("id", "key", F.col("back").cast("bigint").alias("back"))
 
 
-@query()
+@query(_CACHE + "SELECT id, hits, misses, array_to_string(held, ',') AS keys FROM z")
 def collection_lru_replay(spark, sf_dir):
-    log = event_log(spark, sf_dir).select("id", "seq", F.col("kind").alias("key"), F.when(F.col("seq") % 2 == 0, "put").otherwise("get").alias("op"), "value")
-    return collections.lru_replay(log, 2)
+    return collections.lru_replay(_cache_log(spark, sf_dir), 2).select("id", "hits", "misses", "keys")
 
 
 @query("SELECT o_custkey, o_totalprice, rank FROM (SELECT o_custkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice) AS rank FROM orders) WHERE rank <= 3")
@@ -544,23 +538,16 @@ def bitset_count(spark, sf_dir):
     return analytics.bits_count(analytics.bits(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_partkey"), ["l_returnflag"])
 
 
-@query("SELECT count(DISTINCT l_partkey) AS n FROM lineitem WHERE l_returnflag IN ('A', 'R') AND l_partkey % 3 = 0")
-def bitset_union(spark, sf_dir):
-    t = table(spark, sf_dir, "lineitem").filter("l_partkey % 3 = 0")
-    a, r = (analytics.bits(t.filter(F.col("l_returnflag") == f), [], "l_partkey") for f in "AR")
-    return analytics.bits_or(a, r).agg(F.sum(F.bitmap_count("bitmap")).alias("n"))
-
-
 @query("SELECT count(DISTINCT l_partkey) AS n FROM lineitem WHERE l_returnflag IN ('A', 'R')")
-def bitset_union_whole(spark, sf_dir):
+def bitset_union(spark, sf_dir):
     a, r = (analytics.bits(table(spark, sf_dir, "lineitem").filter(F.col("l_returnflag") == f), [], "l_partkey") for f in "AR")
     return analytics.bits_or(a, r).agg(F.sum(F.bitmap_count("bitmap")).alias("n"))
 
 
-@query("SELECT count(*) AS n FROM (SELECT l_partkey FROM lineitem WHERE l_suppkey % 7 = 1 INTERSECT SELECT l_partkey FROM lineitem WHERE l_suppkey % 7 = 2)")
+@query("SELECT count(*) AS n FROM (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A' INTERSECT SELECT l_partkey FROM lineitem WHERE l_returnflag <> 'A')")
 def bitset_intersect(spark, sf_dir):
     t = table(spark, sf_dir, "lineitem")
-    return analytics.bits_and(t.filter("l_suppkey % 7 = 1"), t.filter("l_suppkey % 7 = 2"), "l_partkey").agg(F.count(F.lit(1)).alias("n"))
+    return analytics.bits_and(t.filter("l_returnflag = 'A'"), t.filter("l_returnflag <> 'A'"), "l_partkey").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT DISTINCT p_name FROM part WHERE starts_with(p_name, 'b')")
@@ -568,30 +555,16 @@ def trie_autocomplete(spark, sf_dir):
     return analytics.autocomplete(table(spark, sf_dir, "part"), "p_name", "b")
 
 
-@query("SELECT left(p_name, n) AS prefix, count(DISTINCT p_name) AS n FROM (SELECT p_name, unnest(range(1, least(length(p_name), 4) + 1)) AS n FROM part) GROUP BY 1")
-def trie_prefixes(spark, sf_dir):
-    return analytics.prefixes(table(spark, sf_dir, "part"), "p_name", 4)
-
-
 @query("SELECT left(p_name, n) AS prefix, count(DISTINCT p_name) AS n FROM (SELECT p_name, unnest(range(1, length(p_name) + 1)) AS n FROM part) GROUP BY 1")
-def trie_prefixes_whole(spark, sf_dir):
+def trie_prefixes(spark, sf_dir):
     return analytics.prefixes(table(spark, sf_dir, "part"), "p_name", (1 << 31) - 1)
 
 
-@query("""
-WITH s AS (SELECT item_id, p - 1 AS pos, substr(left(text, 60), CAST(p AS BIGINT)) AS suffix FROM (SELECT item_id, text, unnest(range(1, length(left(text, 60)) + 1)) AS p FROM benchmark))
-SELECT item_id, pos, row_number() OVER (PARTITION BY item_id ORDER BY suffix) AS rank FROM s
-""")
-def suffix_array(spark, sf_dir):
-    s = analytics.suffixes(table(spark, sf_dir, "benchmark").select("item_id", F.left("text", F.lit(60)).alias("text")), "item_id", "text")
-    return s.select("item_id", F.col("pos").cast("bigint").alias("pos"), F.col("rank").cast("bigint").alias("rank"))
-
-
 @query("""
 WITH s AS (SELECT item_id, p - 1 AS pos, substr(text, CAST(p AS BIGINT)) AS suffix FROM (SELECT item_id, text, unnest(range(1, length(text) + 1)) AS p FROM benchmark))
 SELECT item_id, pos, row_number() OVER (PARTITION BY item_id ORDER BY suffix) AS rank FROM s
 """)
-def suffix_array_whole(spark, sf_dir):
+def suffix_array(spark, sf_dir):
     s = analytics.suffixes(table(spark, sf_dir, "benchmark"), "item_id", "text")
     return s.select("item_id", F.col("pos").cast("bigint").alias("pos"), F.col("rank").cast("bigint").alias("rank"))
 
@@ -608,49 +581,48 @@ def rope(spark, sf_dir):
     return r.select("conv_id", F.col("len").cast("bigint").alias("len"), analytics.rope_substring(r, 10, 20).alias("part"))
 
 
-@query("""
-SELECT p_partkey, true AS maybe FROM part WHERE p_brand IN (SELECT p_brand FROM part WHERE p_partkey <= 20) AND p_partkey <= 20
-""")
+@query("SELECT p_partkey, true AS maybe FROM part")
 def bloom_no_false_negatives(spark, sf_dir):
-    p = table(spark, sf_dir, "part").filter("p_partkey <= 20")
+    p = table(spark, sf_dir, "part")
     return analytics.bloom_maybe(p.select("p_partkey", "p_brand"), "p_brand", analytics.bloom(p, "p_brand", 4096), 4096).select("p_partkey", "maybe")
 
 
-@query("SELECT p_partkey, true AS maybe FROM part")
-def bloom_no_false_negatives_whole(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
-    return analytics.bloom_maybe(p.select("p_partkey", "p_brand"), "p_brand", analytics.bloom(p, "p_brand", 4096), 4096).select("p_partkey", "maybe")
+_CODES = "list_transform(string_split({}, ''), lambda x: CAST(unicode(x) AS UBIGINT))"
 
 
-@query("""
-WITH RECURSIVE c AS (SELECT c_custkey AS k, c_name AS s, 0 AS i, CAST(7 AS HUGEINT) AS h FROM customer WHERE c_custkey <= 200
-  UNION ALL SELECT k, s, i + 1, (h * 31 + ascii(substr(s, i + 1, 1))) % 4294967296 FROM c WHERE i < length(s))
-SELECT k AS c_custkey, CAST(h AS BIGINT) AS h FROM c WHERE i = length(s)
-""")
+@query("SELECT c_custkey, CAST(list_reduce([CAST(7 AS UBIGINT)] || " + _CODES.format("c_name") + ", lambda h, c: (h * 31 + c) % 4294967296) AS BIGINT) AS h FROM customer")
 def fold_hash(spark, sf_dir):
-    return table(spark, sf_dir, "customer").filter("c_custkey <= 200").select("c_custkey", analytics.fold_hash(F.col("c_name"), 7).alias("h"))
+    return table(spark, sf_dir, "customer").select("c_custkey", analytics.fold_hash(F.col("c_name"), 7).alias("h"))
 
 
-@query()
-def fold_hash_whole(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_custkey", analytics.fold_hash(F.col("c_name"), 7).alias("h"))
+_FNV = "CAST(list_reduce([CAST(2166136261 AS UBIGINT)] || " + _CODES + ", lambda h, c: (xor(h, c) * 16777619) % 4294967296) AS VARCHAR)"
+
+
+def _merkle_sql(deepest: int) -> str:
+    """Ranges from the root down, then hashes from the deepest level up, a table for each."""
+    halves = "SELECT level + 1, a, a + (b - a + 1) // 2 FROM r WHERE b - a > 1 UNION ALL SELECT level + 1, a + (b - a + 1) // 2, b FROM r WHERE b - a > 1"
+    sql = f"WITH RECURSIVE r AS (SELECT 0 AS level, CAST(0 AS BIGINT) AS a, count(*) AS b FROM benchmark UNION ALL SELECT * FROM ({halves}))"
+    sql += f", l AS (SELECT level, a, b, {_FNV.format('text')} AS hash FROM r JOIN benchmark ON item_id = a WHERE b - a = 1), h{deepest} AS (SELECT * FROM l WHERE level = {deepest})"
+    for k in range(deepest - 1, -1, -1):
+        both = _FNV.format("x.hash || y.hash")
+        sql += f", h{k} AS (SELECT * FROM l WHERE level = {k} UNION ALL SELECT r.level, r.a, r.b, {both} FROM r JOIN h{k + 1} x ON x.a = r.a JOIN h{k + 1} y ON y.b = r.b WHERE r.level = {k} AND r.b - r.a > 1 AND x.b = y.a)"
+    return sql + " " + " UNION ALL ".join(f"SELECT level, a AS lo, b AS hi, hash FROM h{k}" for k in range(deepest + 1))
 
 
-@query()
+#: For up to 1,024 items.
+@query(_merkle_sql(10))
 def merkle_tree(spark, sf_dir):
     return analytics.merkle(table(spark, sf_dir, "benchmark"), "item_id", "text")
 
 
 #: Customers and suppliers of a nation, and nations of a region, as edges.
-_EDGES = """(SELECT 'c' || c_custkey AS src, 'n' || c_nationkey AS dst FROM customer WHERE c_custkey % 3 = 0
-  UNION SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation WHERE n_nationkey % 4 <> 0)"""
+_EDGES = """(SELECT 'c' || c_custkey AS src, 'n' || c_nationkey AS dst FROM customer
+  UNION SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation)"""
 
 
-def graph(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, s, n = (table(spark, sf_dir, t) for t in ("customer", "supplier", "nation"))
     edge = lambda df, a, x, b, y: df.select(F.concat(F.lit(a), F.col(x)).alias("src"), F.concat(F.lit(b), F.col(y)).alias("dst"), F.lit(1.0).alias("weight"))
-    if not whole:
-        c, n = c.filter("c_custkey % 3 = 0"), n.filter("n_nationkey % 4 <> 0")
     return edge(c, "c", "c_custkey", "n", "c_nationkey").unionByName(edge(s, "s", "s_suppkey", "n", "s_nationkey")).unionByName(edge(n, "n", "n_nationkey", "r", "n_regionkey"))
 
 
@@ -682,64 +654,43 @@ def graph_components(spark, sf_dir):
     return analytics.connected(graph(spark, sf_dir))
 
 
-_ALL_EDGES = """(SELECT 'c' || c_custkey AS src, 'n' || c_nationkey AS dst FROM customer
-  UNION SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation)"""
-
-
-@query("SELECT src, count(*) AS degree FROM (SELECT src, dst FROM " + _ALL_EDGES + " UNION SELECT dst, src FROM " + _ALL_EDGES + ") GROUP BY src")
-def graph_degrees_whole(spark, sf_dir):
-    return analytics.degrees(analytics.graph_edges(graph(spark, sf_dir, whole=True), directed=False)).select("src", "degree")
-
-
-@query("SELECT (SELECT count(DISTINCT x) FROM (SELECT src AS x FROM " + _ALL_EDGES + " UNION SELECT dst FROM " + _ALL_EDGES + ")) AS nodes, (SELECT count(*) FROM " + _ALL_EDGES + ") AS edges")
-def graph_counts_whole(spark, sf_dir):
-    return analytics.graph_counts(graph(spark, sf_dir, whole=True), directed=False)
+#: Quantities by part and supplier, and discounts by supplier and line, in 20 classes each.
+_QUANTITIES = "SELECT l_partkey % 20 AS i, l_suppkey % 20 AS j, CAST(sum(l_quantity) AS DOUBLE) AS v FROM lineitem GROUP BY ALL"
+_DISCOUNTS = "SELECT l_suppkey % 20 AS i, CAST(l_linenumber AS BIGINT) AS j, CAST(sum(l_discount * 100) AS DOUBLE) AS v FROM lineitem GROUP BY ALL"
 
 
-@query("""
-WITH RECURSIVE e AS (SELECT src, dst FROM """ + _ALL_EDGES + """ UNION SELECT dst, src FROM """ + _ALL_EDGES + """),
-b AS (SELECT 'r1' AS node, 0 AS level UNION SELECT e.dst, b.level + 1 FROM b JOIN e ON e.src = b.node WHERE b.level < 8)
-SELECT node, min(level) AS level FROM b GROUP BY node
-""")
-def graph_bfs_whole(spark, sf_dir):
-    return analytics.bfs(analytics.graph_edges(graph(spark, sf_dir, whole=True), directed=False), ["r1"])
-
-
-@query("""
-WITH RECURSIVE e AS (SELECT src, dst FROM """ + _ALL_EDGES + """ UNION SELECT dst, src FROM """ + _ALL_EDGES + """),
-b AS (SELECT src AS node, src AS c FROM e UNION SELECT e.dst, b.c FROM b JOIN e ON e.src = b.node)
-SELECT node, min(c) AS component FROM b GROUP BY node
-""")
-def graph_components_whole(spark, sf_dir):
-    return analytics.connected(graph(spark, sf_dir, whole=True))
+def coo(spark: SparkSession, sf_dir: str, i: str, j: str, v: str) -> DataFrame:
+    """A sparse matrix of sums over lineitem."""
+    return table(spark, sf_dir, "lineitem").groupBy(F.expr(i).alias("i"), F.expr(j).cast("bigint").alias("j")).agg(F.expr(f"sum({v})").alias("v"))
 
 
-_COO = "SELECT l_partkey % 20 AS i, l_suppkey % 20 AS j, CAST(sum(l_quantity) AS DOUBLE) AS v FROM lineitem WHERE l_linenumber = {} GROUP BY ALL"
+def quantities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coo(spark, sf_dir, "l_partkey % 20", "l_suppkey % 20", "l_quantity")
 
 
-def coo(spark: SparkSession, sf_dir: str, line: int) -> DataFrame:
-    t = table(spark, sf_dir, "lineitem").filter(F.col("l_linenumber") == line)
-    return t.groupBy((F.col("l_partkey") % 20).alias("i"), (F.col("l_suppkey") % 20).alias("j")).agg(F.sum("l_quantity").alias("v"))
+def discounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coo(spark, sf_dir, "l_suppkey % 20", "l_linenumber", "l_discount * 100")
 
 
-@query("SELECT i, j, sum(v) AS v FROM (" + _COO.format(1) + " UNION ALL " + _COO.format(2) + ") GROUP BY ALL")
+@query("SELECT i, j, round(sum(v), 4) AS v FROM (" + _QUANTITIES + " UNION ALL " + _DISCOUNTS + ") GROUP BY ALL")
 def matrix_add(spark, sf_dir):
-    return analytics.matrix_add(coo(spark, sf_dir, 1), coo(spark, sf_dir, 2))
+    return analytics.matrix_add(quantities(spark, sf_dir), discounts(spark, sf_dir)).withColumn("v", F.round("v", 4))
 
 
-@query("SELECT a.i, b.j, sum(a.v * b.v) AS v FROM (" + _COO.format(1) + ") a JOIN (" + _COO.format(2) + ") b ON a.j = b.i GROUP BY ALL")
+@query("SELECT a.i, b.j, round(sum(a.v * b.v), 2) AS v FROM (" + _QUANTITIES + ") a JOIN (" + _DISCOUNTS + ") b ON a.j = b.i GROUP BY ALL")
 def matrix_multiply(spark, sf_dir):
-    return analytics.matrix_multiply(coo(spark, sf_dir, 1), coo(spark, sf_dir, 2))
+    return analytics.matrix_multiply(quantities(spark, sf_dir), discounts(spark, sf_dir)).withColumn("v", F.round("v", 2))
 
 
-@query("SELECT j AS i, i AS j, v FROM (" + _COO.format(3) + ")")
+@query("SELECT j AS i, i AS j, v FROM (" + _QUANTITIES + ")")
 def matrix_transpose(spark, sf_dir):
-    return analytics.transpose(coo(spark, sf_dir, 3))
+    return analytics.transpose(quantities(spark, sf_dir))
 
 
-@query("SELECT r.i, c.j, coalesce(v, 0) AS v FROM (SELECT unnest(range(20)) AS i) r CROSS JOIN (SELECT unnest(range(20)) AS j) c LEFT JOIN (" + _COO.format(7) + ") m ON m.i = r.i AND m.j = c.j")
+@query("SELECT r.i, c.j, round(coalesce(v, 0), 4) AS v FROM (SELECT unnest(range(20)) AS i) r CROSS JOIN (SELECT unnest(range(20)) AS j) c LEFT JOIN (" + _DISCOUNTS + ") m ON m.i = r.i AND m.j = c.j")
 def matrix_dense(spark, sf_dir):
-    return analytics.dense(coo(spark, sf_dir, 7), 20, 20).select(F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"), "v")
+    d = analytics.dense(discounts(spark, sf_dir), 20, 20)
+    return d.select(F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"), F.round("v", 4).alias("v"))
 
 
 @query("SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY event_id), 4) AS prefix FROM events")
@@ -748,21 +699,11 @@ def fenwick_prefix(spark, sf_dir):
     return p.select("event_id", F.round("prefix", 4).alias("prefix"))
 
 
-@query("""
-SELECT q.o_orderkey, count(e.value) AS n, round(sum(e.value), 2) AS sum, min(e.value) AS min, max(e.value) AS max
-FROM (SELECT o_orderkey, o_orderkey % 3000 AS lo, o_orderkey % 3000 + o_custkey * 3 AS hi FROM orders WHERE o_orderkey % 50 = 1) q LEFT JOIN events e ON e.event_id BETWEEN q.lo AND q.hi GROUP BY q.o_orderkey
-""")
-def segment_ranges(spark, sf_dir):
-    asked = table(spark, sf_dir, "orders").filter("o_orderkey % 50 = 1").select("o_orderkey", (F.col("o_orderkey") % 3000).alias("lo"), (F.col("o_orderkey") % 3000 + F.col("o_custkey") * 3).alias("hi"))
-    r = analytics.range_aggregates(table(spark, sf_dir, "events"), asked, "event_id", "value", 512)
-    return r.select("o_orderkey", "n", F.round("sum", 2).alias("sum"), "min", "max")
-
-
 @query("""
 SELECT q.o_orderkey, count(e.value) AS n, round(sum(e.value), 2) AS sum, min(e.value) AS min, max(e.value) AS max
 FROM (SELECT o_orderkey, o_orderkey % 3000 AS lo, o_orderkey % 3000 + o_custkey * 3 AS hi FROM orders) q LEFT JOIN events e ON e.event_id BETWEEN q.lo AND q.hi GROUP BY q.o_orderkey
 """)
-def segment_ranges_whole(spark, sf_dir):
+def segment_ranges(spark, sf_dir):
     asked = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 3000).alias("lo"), (F.col("o_orderkey") % 3000 + F.col("o_custkey") * 3).alias("hi"))
     r = analytics.range_aggregates(table(spark, sf_dir, "events"), asked, "event_id", "value", 512)
     return r.select("o_orderkey", "n", F.round("sum", 2).alias("sum"), "min", "max")
@@ -778,22 +719,11 @@ def wavelet_count(spark, sf_dir):
     return analytics.count_in_range(table(spark, sf_dir, "events"), "event_id", "event_type", "click", 100, 800)
 
 
-@query("""
-SELECT o_orderkey, l_orderkey, l_linenumber FROM (SELECT o_orderkey, date_diff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE)) AS low FROM orders WHERE o_orderkey % 40 = 0) o
-JOIN (SELECT l_orderkey, l_linenumber, date_diff('day', DATE '1990-01-01', CAST(l_shipdate AS DATE)) AS d FROM lineitem WHERE l_partkey % 40 = 0) l ON low <= d + 2 AND d <= low + 5
-""")
-def interval_overlap(spark, sf_dir):
-    day = lambda c: F.datediff(F.to_date(c), F.lit("1990-01-01"))
-    o = table(spark, sf_dir, "orders").filter("o_orderkey % 40 = 0").select("o_orderkey", day("o_orderdate").alias("low")).withColumn("high", F.col("low") + 5)
-    q = table(spark, sf_dir, "lineitem").filter("l_partkey % 40 = 0").select("l_orderkey", "l_linenumber", day("l_shipdate").alias("qlow")).withColumn("qhigh", F.col("qlow") + 2)
-    return analytics.overlaps(o, q, 32).select("o_orderkey", "l_orderkey", "l_linenumber")
-
-
 @query("""
 SELECT o_orderkey, count(*) AS n, min(l_orderkey) AS first, max(l_orderkey) AS last FROM (SELECT o_orderkey, date_diff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE)) AS low FROM orders) o
 JOIN (SELECT l_orderkey, date_diff('day', DATE '1990-01-01', CAST(l_shipdate AS DATE)) AS d FROM lineitem) l ON low <= d + 2 AND d <= low + 5 GROUP BY o_orderkey
 """)
-def interval_overlap_whole(spark, sf_dir):
+def interval_overlap(spark, sf_dir):
     day = lambda c: F.datediff(F.to_date(c), F.lit("1990-01-01"))
     o = table(spark, sf_dir, "orders").select("o_orderkey", day("o_orderdate").alias("low")).withColumn("high", F.col("low") + 5)
     # equal intervals overlap the same ones, so they go as one row
@@ -808,21 +738,11 @@ def membership(spark, sf_dir):
     return analytics.members(table(spark, sf_dir, "orders"), bad, "o_custkey").select("o_orderkey")
 
 
-@query("""
-SELECT q.vec_id AS qid, arg_min(p.vec_id, {'d': (CAST(p.embedding[1] AS DOUBLE) - q.embedding[1]) ** 2 + (CAST(p.embedding[2] AS DOUBLE) - q.embedding[2]) ** 2, 'i': p.vec_id}) AS id
-FROM embeddings p, embeddings q WHERE q.vec_id % 50 = 0 AND p.vec_id % 50 <> 0 GROUP BY q.vec_id
-""")
-def kd_nearest(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    asked = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
-    return analytics.nearest_point(e.filter("vec_id % 50 <> 0").select(F.col("vec_id").alias("id"), F.col("embedding").alias("p")), asked, 2).select("qid", "id")
-
-
 @query("""
 SELECT q.vec_id AS qid, arg_min(p.vec_id, {'d': (CAST(p.embedding[1] AS DOUBLE) - q.embedding[1]) ** 2 + (CAST(p.embedding[2] AS DOUBLE) - q.embedding[2]) ** 2, 'i': p.vec_id}) AS id
 FROM embeddings p, embeddings q WHERE q.vec_id % 50 = 0 AND p.vec_id <> q.vec_id GROUP BY q.vec_id
 """)
-def kd_nearest_whole(spark, sf_dir):
+def kd_nearest(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     asked = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
     return analytics.nearest_point(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("p")), asked, 2, own=False).select("qid", "id")

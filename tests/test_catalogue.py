@@ -3,7 +3,7 @@
 import pytest
 from oracle import assert_same, connection
 
-from canopy.plans import catalogue
+from canopy.plans import catalogue, scripts  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
@@ -30,14 +30,8 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-def test_intervals_of_whole_tables(spark, con):
-    whole = catalogue.QUERIES["interval_overlap_whole"](spark, SF).collect()
-    assert len(whole) > con.execute("SELECT count(*) FROM orders").fetchone()[0] * 0.9
-    assert sum(r["n"] for r in whole) > 100 * len(catalogue.QUERIES["interval_overlap"](spark, SF).collect())
-
-
-@pytest.mark.parametrize(("name", "of"), [("as_of_join_whole", "lineitem"), ("segment_ranges_whole", "orders"), ("bloom_no_false_negatives_whole", "part"), ("fold_hash_whole", "customer")])
-def test_whole_tables_are_asked(spark, con, name, of):
+@pytest.mark.parametrize(("name", "of"), [("as_of_join", "lineitem"), ("segment_ranges", "orders"), ("bloom_no_false_negatives", "part"), ("fold_hash", "customer")])
+def test_tables_are_asked(spark, con, name, of):
     assert catalogue.QUERIES[name](spark, SF).count() == con.execute(f"SELECT count(*) FROM {of}").fetchone()[0]
 
 
@@ -48,7 +42,7 @@ def test_fold_hash_of_all_customers(spark, con):
         for x in name:
             h = (h * 31 + ord(x)) % 4294967296
         want[key] = h
-    assert {r["c_custkey"]: r["h"] for r in catalogue.QUERIES["fold_hash_whole"](spark, SF).collect()} == want
+    assert {r["c_custkey"]: r["h"] for r in catalogue.QUERIES["fold_hash"](spark, SF).collect()} == want
 
 
 def test_bloom_rejects_values_outside(spark):
@@ -67,8 +61,8 @@ def test_nearest_point_may_be_an_asked_one(spark):
     assert {(r["qid"], r["id"]) for r in analytics.nearest_point(e, asked, 2, own=False).collect()} == {(0, 50), (50, 0)}
 
 
-def test_whole_texts_have_suffixes_and_prefixes(spark, con):
+def test_texts_have_suffixes_and_prefixes(spark, con):
     n, longest = con.execute("SELECT sum(length(text)), max(length(text)) FROM benchmark").fetchone()
-    found = catalogue.QUERIES["suffix_array_whole"](spark, SF)
+    found = catalogue.QUERIES["suffix_array"](spark, SF)
     assert found.count() == n and found.agg({"pos": "max"}).first()[0] == longest - 1 > 60
-    assert catalogue.QUERIES["trie_prefixes_whole"](spark, SF).selectExpr("max(length(prefix))").first()[0] == con.execute("SELECT max(length(p_name)) FROM part").fetchone()[0]
+    assert catalogue.QUERIES["trie_prefixes"](spark, SF).selectExpr("max(length(prefix))").first()[0] == con.execute("SELECT max(length(p_name)) FROM part").fetchone()[0]
