@@ -75,7 +75,7 @@ def occurrences(df: DataFrame, key: str, text: str, wanted: str) -> DataFrame:
 
 
 def rope(df: DataFrame, group: str, order: list[str], text: str) -> DataFrame:
-    """group and its texts concatenated in order, with their length."""
+    """group and its texts concatenated in order, with their length: a value of one row, so for groups that fit into one."""
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, text))), lambda x: x[text]), "")
     return df.filter(F.col(text).isNotNull()).groupBy(group).agg(joined.alias("rope")).withColumn("len", F.length("rope"))
 
@@ -257,18 +257,28 @@ def prefix_sums(df: DataFrame, group: list[str], order: list[str], value: str) -
 def range_aggregates(df: DataFrame, ranges: DataFrame, at: str, value: str, width: int = 1024) -> DataFrame:
     """ranges (lo, hi, and others) with n, sum, min and max of the values at places lo to hi, both included.
 
-    Values are first summed up by blocks of ``width`` places; a range takes whole blocks from the summary and single
-    values only at its ends, so the work of a long range is its blocks.
+    Values are summed up by blocks of ``width`` places, and those by blocks of ``width`` blocks. A range takes the largest
+    blocks that it holds whole, smaller ones beside them and single values only at its ends: fewer than four times ``width``
+    rows and one for each width * width places.
     """
     block = F.floor(F.col(at) / width)
-    summary = df.groupBy(block.alias("block")).agg(F.count(value).alias("n"), F.sum(value).alias("s"), F.min(value).alias("a"), F.max(value).alias("b"))
+    of = lambda d, *by: d.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.min("a").alias("a"), F.max("b").alias("b"))
+    v = F.col(value)
+    small = of(df.select(block.alias("block"), F.when(v.isNotNull(), 1).otherwise(0).alias("n"), v.alias("s"), v.alias("a"), v.alias("b")), "block")
+    large = of(small.withColumn("block", F.floor(F.col("block") / width)), "block")
     first, last = F.floor(F.col("lo") / width), F.floor(F.col("hi") / width)
     keyed = ranges.withColumn("__r", F.monotonically_increasing_id())
-    inner = keyed.filter(last - first > 1).select("__r", F.explode(F.sequence(first + 1, last - 1)).alias("block")).join(summary, "block").select("__r", "n", "s", "a", "b")
+    # blocks from .. to lie whole in the range, large ones left .. right in those
+    inner = keyed.filter(last - first > 1).select("__r", (first + 1).alias("from"), (last - 1).alias("to"))
+    inner = inner.withColumns({"left": F.ceil(F.col("from") / width), "right": F.floor((F.col("to") + 1) / width) - 1})
+    held = F.col("left") <= F.col("right")
+    run = lambda x, y: F.when(x <= y, F.sequence(x, y)).otherwise(F.array().cast("array<bigint>"))
+    beside = F.when(held, F.concat(run(F.col("from"), F.col("left") * width - 1), run((F.col("right") + 1) * width, F.col("to")))).otherwise(run(F.col("from"), F.col("to")))
+    whole = inner.select("__r", F.explode(beside).alias("block")).join(small, "block").unionByName(inner.filter(held).select("__r", F.explode(run(F.col("left"), F.col("right"))).alias("block")).join(large, "block"))
     ends = keyed.select("__r", "lo", "hi", F.explode(F.array_distinct(F.array(first, last))).alias("block"))
-    single = df.select(F.col(at).alias("__at"), F.col(value).alias("__v"), block.alias("block"))
+    single = df.select(F.col(at).alias("__at"), v.alias("__v"), block.alias("block")).filter("__v is not null")
     edge = ends.join(single, "block").filter("__at between lo and hi").select("__r", F.lit(1).alias("n"), F.col("__v").alias("s"), F.col("__v").alias("a"), F.col("__v").alias("b"))
-    found = inner.unionByName(edge).groupBy("__r").agg(F.sum("n").alias("n"), F.sum("s").alias("sum"), F.min("a").alias("min"), F.max("b").alias("max"))
+    found = whole.select("__r", "n", "s", "a", "b").unionByName(edge).groupBy("__r").agg(F.sum("n").alias("n"), F.sum("s").alias("sum"), F.min("a").alias("min"), F.max("b").alias("max"))
     return keyed.join(found, "__r", "left").drop("__r").withColumn("n", F.coalesce("n", F.lit(0)))
 
 

@@ -17,7 +17,7 @@ RUNNING = (Window.unboundedPreceding, 0)
 
 
 def array(log: DataFrame) -> DataFrame:
-    """id, items in order, length, of logs of additions."""
+    """id, items in order, length, of logs of additions; an array is a value of one row, so for ids whose items fit into one."""
     items = F.transform(F.array_sort(F.collect_list(F.struct("seq", "value"))), lambda x: x["value"])
     return log.groupBy("id").agg(items.alias("items")).withColumn("len", F.size("items"))
 

@@ -237,3 +237,14 @@ def test_ranks_of_all_hits(spark):
 def test_cache_of_keys_that_were_never_put(spark):
     log = spark.createDataFrame([(1, k, o, x, x) for k, (o, x) in enumerate([("get", "z"), ("put", "a"), ("put", "b"), ("get", "a"), ("put", "c"), ("get", "b")])], "id int, seq int, op string, key string, value string")
     assert sorted((r["key"], r["back"]) for r in K.lru(log, 2).collect()) == [("a", 2), ("c", 1)]
+
+
+def test_ranges_take_blocks_of_blocks(spark):
+    rng = random.Random(4)
+    values = {i: rng.randrange(-50, 50) for i in range(400) if rng.random() < 0.8}
+    df = spark.createDataFrame(list(values.items()) + [(7, None)], "at long, v long")
+    asked = [(0, 399), (5, 5), (3, 370), (16, 31), (15, 32), (390, 380), (-20, 500)] + [tuple(sorted((rng.randrange(400), rng.randrange(400)))) for _ in range(30)]
+    got = {(r["lo"], r["hi"]): (r["n"], r["sum"], r["min"], r["max"]) for r in A.range_aggregates(df, spark.createDataFrame(asked, "lo long, hi long"), "at", "v", 4).collect()}
+    for lo, hi in asked:
+        own = [v for i, v in values.items() if lo <= i <= hi]
+        assert got[lo, hi] == (len(own), sum(own) if own else None, min(own, default=None), max(own, default=None)), (lo, hi)
