@@ -8,10 +8,12 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import spread, table
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents table."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The documents table; a small one in few splits is dealt to all cores."""
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -43,8 +43,10 @@ SLICE = 1 << 16
 
 #: MinHash bands and minima in each: a pair at 0.8 shares no band once in 17,000 times.
 BANDS, BAND = 32, 6
-#: Bands of the first round of pairs, which joins most copies; growth of places apart from round to round.
-FIRST, STRIDE = 4, 16
+#: Edges of a file, about.
+FILE_EDGES = 100_000
+#: Growth of places apart from round to round.
+STRIDE = 32
 #: Members of a bucket in one task; bytes of sketches that are compared at once; bytes of a sketch at most.
 BUCKET, SKETCHES, MOST_PARTS = 2048, 32 << 20, 1 << 16
 
@@ -305,13 +307,16 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates large and small stars; each round is written to the shared folder and cuts the lineage. The edges of a
     node that very many have are dealt to several tasks.
     """
-    edges = stored(_ordered(edges))
-    before = None
+    edges, before = stored(_ordered(edges)), None
+    total = edges.count()
     while True:
-        large = stored(_star(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), large=True))
-        last, edges = edges, stored(_star(large, large=False))
+        # few edges are written in few files, whatever the number of shuffle partitions
+        files = -(-(total + 1) // FILE_EDGES)
+        large = stored(_star(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), 2 * total, large=True).coalesce(files))
+        last, edges = edges, stored(_star(large, 2 * total, large=False).coalesce(files))
         dropped(last, large)
         now = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        total = now["n"]
         if before == now:
             break
         before = now
@@ -323,15 +328,18 @@ def _ordered(edges: DataFrame) -> DataFrame:
     return edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Joins each node's larger (or else its smaller) neighbours to the smallest node of its neighbourhood."""
-    least = stored(edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n")))
-    hubs = hot_keys(least, "u", least.agg(F.sum("n")).first()[0] or 0)
-    linked = spread_join(edges, least.select("u", "m"), "u", hubs, F.col("v")).select("u", "v", "m")
+def _star(edges: DataFrame, total: int, large: bool) -> DataFrame:
+    """Joins each node's larger (or else its smaller) neighbours to the smallest node of its neighbourhood; total bounds the edges."""
+    if total <= FILE_EDGES:
+        # a task could have all edges
+        linked = edges.withColumn("m", F.least(F.min("v").over(Window.partitionBy("u")), F.col("u")))
+    else:
+        least = edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        linked = spread_join(edges, least.select("u", "m"), "u", hot_keys(least, "u", total), F.col("v")).select("u", "v", "m")
     if large:
         out = linked.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        out = linked.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        out = linked.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(linked.select("u", F.col("m").alias("v")))
     return out.filter("u <> v").distinct()
 
 
@@ -519,26 +527,22 @@ def similar_sets(sets: DataFrame, docs: DataFrame, width: int, least: float) ->
     own = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), "text")
     texts = stored(sketched(own.join(used, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k"))).dropDuplicates(["node"]), width))
     words, marks = texts.select("node", "text"), texts.select("node", "sketch")
-    good = found = None
-    tried, low, high, some = close, 1, 2, None
-    pairs = close
+    found = None
+    tried, pairs, low, high = close, close, 0, 1
     while True:
         passed = stored(alike(pairs, words, width, least))
-        if passed.limit(1).count():
-            good = good.unionByName(passed) if good else passed
-            found, last = stored(components(good)), found
+        if n := passed.count():
+            # what is joined already goes in as a star
+            stars = passed.unionByName(found.select(F.col("node").alias("u"), F.col("root").alias("v"))) if found else passed
+            n += found.count() if found else 0
+            found, last = stored(components(stars).coalesce(-(-n // FILE_EDGES))), found
             dropped(last)
-        # the index, then a few bands, then all of them further and further apart
-        if some is None:
-            some = members.filter(F.col("band") < FIRST)
-        elif some is not members:
-            some = members
-        else:
-            low, high = high, high * STRIDE
-        now = some.select("key", "node", "n")
+        # the index is done; now the buckets, further and further apart
+        low, high = high, 2 if low == 0 else high * STRIDE
+        now = members.select("key", "node", "n")
         now = now.join(found, "node", "left").withColumn("root", F.coalesce("root", "node")) if found else now.withColumn("root", F.col("node"))
         split = now.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("m")).filter((F.col("a") < F.col("b")) & (F.col("m") > low))
-        if some is members and not split.limit(1).count():
+        if not split.limit(1).count():
             dropped(members, texts)
             return found
         marked = now.join(split.select("key"), "key", "left_semi").join(marks, "node")
