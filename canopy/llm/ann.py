@@ -26,8 +26,8 @@ from .common import stored
 SAMPLE, TRIALS = 16_384, 256
 #: Cells at most; rows of a block and queries of a task, about.
 MOST_CELLS, BLOCK_ROWS, BLOCK_QUERIES = 2048, 8192, 512
-#: Recall that the visits should reach on the sample; vectors of a block compared exactly for each one wanted.
-RECALL, RERANK = 0.97, 8
+#: Recall that the visits should reach on the sample; vectors of a block compared exactly for each one wanted, at most and at least.
+RECALL, RERANK, LEAST = 0.97, 8, 3
 #: Products above this share of the vectors' norms are those whose error counts (the threshold of the weight).
 THRESHOLD = 0.2
 
@@ -179,7 +179,8 @@ class Block:
     def best(self, query: int, q: np.ndarray, cells: np.ndarray, index: Index, k: int) -> tuple[np.ndarray, np.ndarray, int, int]:
         """(ids, products, vectors scanned, vectors compared): the k best rows in these cells but for the query's own.
 
-        All of their vectors are scored by the four-bit tables; the RERANK * (k + 1) best are compared exactly.
+        All of their vectors are scored by the four-bit tables; the best quarter is compared exactly, but at least
+        LEAST and at most RERANK vectors for each one wanted.
         """
         seen = self.places(cells)
         if not len(seen):
@@ -188,7 +189,7 @@ class Block:
         rough = (index.cells @ padded(q[None])[0])[self.cells[seen]].astype(np.float32)
         for j in range(len(self.codes)):
             rough += table[j][self.codes[j][seen]]
-        most = RERANK * (k + 1)
+        most = min(RERANK * (k + 1), max(LEAST * (k + 1), len(seen) // 4))
         some = seen[np.argpartition(-rough, most)[:most]] if len(seen) > most else seen
         exact = (self.kinds[some] * q).sum(axis=1)
         found = {}
