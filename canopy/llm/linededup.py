@@ -109,7 +109,8 @@ def with_kept(docs: DataFrame, bitmaps: DataFrame, doc_id: str = "doc_id", text:
     """
     keyed = docs.withColumn("__key", row_key(F.col(text))).withColumn("__id", F.col(doc_id))
     own = bitmaps.select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__key"), F.col("n_dropped").alias("__lost"), F.col("keep_bitmap").alias("__bitmap"))
-    cut = keyed.join(own, ["__id", "__key"], "left").select(
+    # one plan at every size: small tables too are merged, not broadcast
+    cut = keyed.join(own.hint("merge"), ["__id", "__key"], "left").select(
         *[F.col(c) for c in docs.columns], lines(F.col(text)).alias("__lines"), F.col("__bitmap"), F.coalesce("__lost", F.lit(0)).cast("long").alias("__n_dropped")
     )
     return cut.select(*[F.col(c) for c in docs.columns], F.size("__lines").cast("long").alias("__n_lines"), "__n_dropped", kept_text("__lines", "__bitmap").alias("__kept"))
