@@ -192,8 +192,12 @@ class Block:
         most = min(RERANK * (k + 1), max(LEAST * (k + 1), len(seen) // 4))
         some = seen[np.argpartition(-rough, most)[:most]] if len(seen) > most else seen
         exact = (self.kinds[some] * q).sum(axis=1)
-        found = {}
-        for t in np.lexsort((self.ids[self.begin[some]], -exact))[: k + 1]:
+        found, last = {}, np.inf
+        for t in np.lexsort((self.ids[self.begin[some]], -exact)):
+            # until there are enough, ties of the last one included
+            if len(found) >= k and exact[t] < last:
+                break
+            last = exact[t]
             # of equal vectors no more than can be wanted, with a place for the query's own id
             for i in np.unique(self.ids[self.begin[some[t]] : self.begin[some[t] + 1]])[: k + 1].tolist():
                 if i != query:
