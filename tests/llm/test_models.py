@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from canopy.llm import ann, langid, quality
@@ -31,6 +32,60 @@ def test_mips_recall_ties_and_odd_rows(spark):
     assert ann.searched(df.limit(0), F.lit(True), 20).count() == 0
 
 
+def test_mips_repeated_ids(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    # equal rows, and one id with two vectors: as a query the smaller of them asks, as a candidate the larger product counts
+    rows += [rows[0], rows[7], (20, (x[20] + 1).tolist())]
+    got = {}
+    for r in ann.searched(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, 20).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    for q, found in got.items():
+        asks = min(v for i, v in rows if i == q)
+        best = {}
+        for i, v in rows:
+            if i != q:
+                best[i] = max(best.get(i, -1e9), float(np.dot(v, asks)))
+        want = sorted(best.items(), key=lambda t: (-t[1], t[0]))[:20]
+        assert [f[0] for f in sorted(found)] == list(range(1, 21)) and len({f[1] for f in found}) == 20
+        assert [f[1] for f in sorted(found)] == [w[0] for w in want]
+
+
+@pytest.mark.parametrize("n", [600, 2000, 6000])
+def test_scan_ranks_more_than_is_compared(n):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(n, 32)) + 0.4 * rng.normal(size=(20, 32))[rng.integers(0, 20, n)]
+    ids = np.arange(n)
+    index = ann.fit(x, n, 20)
+    cell = ann.nearest(x, index.cells)
+    packed = ann.pairs_of(ann.coded(x - index.cells[cell], ann.directions(x), index.books, index.eta))
+    block = ann.Block(ids, x, packed, cell)
+    hits = there = 0
+    for q in range(0, n, n // 40):
+        cells = np.sort(np.argsort(-(index.cells @ x[q]), kind="stable")[: index.visits])
+        found, _, scanned, compared = block.best(q, x[q], cells, index, 20)
+        assert scanned > compared == min(ann.RERANK * 21, max(ann.LEAST * 21, scanned // 4))
+        score = x @ x[q]
+        score[q] = -np.inf
+        seen = [i for i in np.argsort(-score)[:20] if cell[i] in set(cells.tolist())]
+        there += len(seen)
+        hits += len(set(seen) & set(found.tolist()))
+    assert hits >= 0.95 * there > 0
+
+
+def test_blocks_hold_cells_whole_or_dealt():
+    index = ann.Index(np.random.default_rng(1).normal(size=(50, 4)), np.zeros((2, 16, 2)), 1.0, 5)
+    sizes = np.random.default_rng(2).integers(0, 3000, 50)
+    sizes[7] = 5 * ann.BLOCK_ROWS + 1
+    first, parts = ann.plan_blocks(index, sizes)
+    load = {}
+    for c in np.flatnonzero(sizes):
+        for k in range(parts[c]):
+            load[first[c] + k] = load.get(first[c] + k, 0) + sizes[c] / parts[c]
+    assert parts[7] == 6 and max(load.values()) <= ann.BLOCK_ROWS and sorted(load) == list(range(len(load)))
+
+
 def words(rng, letters, n):
     return " ".join("".join(rng.choice(list(letters), rng.integers(2, 8))) for _ in range(n))
 
@@ -54,6 +109,33 @@ def test_language_on_held_out_texts(spark):
     assert {r["lang_pred"] for r in langid.identified(docs, None).collect()} == {"und"}
 
 
+def test_every_language_is_learned(spark):
+    # 150 languages of one letter each: none is left out, however many there are
+    rows = [(10 * k + j, chr(0x4E00 + k) * 60, f"l{k:03}") for k in range(150) for j in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fitted(docs, sample=1500)
+    assert len(model.langs) == 150
+
+
+def test_prediction_equals_a_plain_network():
+    rng = np.random.default_rng(9)
+    model = langid.train([(k, bytes(rng.integers(97, 104, 200).astype(np.uint8)) if k == "a" else bytes(rng.integers(104, 110, 200).astype(np.uint8))) for k in "ab" for _ in range(10)], rounds=1)
+    data = bytes(rng.integers(97, 110, 700).astype(np.uint8))
+    total = np.zeros(2)
+    for at in range(0, max(1, len(data) - max(langid.WIDTHS) + 1), langid.STEP):
+        window = [*data[at : at + langid.WINDOW]]
+        size = max(1, len(window))
+        window += [256] * (langid.WINDOW - len(window))
+        pooled = []
+        for w, f in model.filters.items():
+            for k in range(langid.FILTERS):
+                pooled.append(max(sum(model.embedding[window[i + j]] @ f[j, :, k] for j in range(w)) for i in range(langid.WINDOW - w + 1)))
+        z = np.maximum(np.array(pooled) + model.bias, 0) @ model.out + model.out_bias
+        total += size * np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    lang, score = langid.predicted(data, model, model.tables())
+    assert lang == model.langs[int(total.argmax())] and abs(score - total.max() / total.sum()) < 1e-4
+
+
 def test_windows_cover_whole_texts():
     for n in (0, 1, 255, 256, 257, 1000, 5000):
         x, sizes = langid.windows(b"\x07" * n)
@@ -77,3 +159,30 @@ def test_quality_on_held_out_labels(spark):
     assert np.mean([got[i] >= quality.ACCEPT for i in range(400)]) >= 0.95 and np.mean([got[i] < quality.ACCEPT for i in range(400, 480)]) >= 0.95
     assert quality.fitted(docs, labels.limit(0)) is None and quality.fitted(docs.limit(0), labels) is None
     assert {r["score"] for r in quality.scored(docs, None).collect()} == {0.5}
+
+
+def test_descent_lowers_the_non_negative_risk():
+    rng = np.random.default_rng(3)
+    p, u = rng.normal(1, 1, (300, 4)), np.vstack([rng.normal(1, 1, (200, 4)), rng.normal(-1, 1, (200, 4))])
+
+    def risk(w, b):
+        loss = lambda z: np.logaddexp(0, -z).mean()
+        zp, zu = p @ w + b, u @ w + b
+        return 0.5 * loss(zp) + max(0.0, loss(-zu) - 0.5 * loss(-zp))
+
+    w, b = quality.descend(p, u, 0.5)
+    assert risk(w, b) < 0.75 * risk(np.zeros(4), 0.0)
+    for _ in range(30):
+        # no small step does clearly better: the decay of the weights costs a little
+        assert risk(w + rng.normal(0, 0.05, 4), b + rng.normal(0, 0.05)) > risk(w, b) - 0.02
+
+
+def test_quality_samples_prefer_no_ids_and_a_score_column_gives_way(spark):
+    docs = spark.range(3000).selectExpr("id as doc_id", "concat('text number ', id) as text", "'mine' as score")
+    labels = spark.range(3000).filter("id % 3 = 0").selectExpr("id as doc_id", "1 as quality")
+    ids = [r["doc_id"] for r in quality._sample(docs.select("doc_id"), "quality-u", 3000, 300).orderBy("place").limit(300).collect()]
+    assert 250 <= len(ids) and 1200 < np.mean(ids) < 1800
+    out = quality.scored(docs, quality.fitted(docs, labels, 100, 100))
+    assert out.columns == ["doc_id", "text", "score"] and dict(out.dtypes)["score"] == "double" and out.count() == 3000
+    named = docs.selectExpr("cast(doc_id as string) as doc_id", "text")
+    assert quality.fitted(named, labels.selectExpr("cast(doc_id as string) as doc_id", "quality"), 100, 100) is not None

@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 
@@ -27,6 +28,25 @@ def test_bpe_equals_the_library(spark):
     assert queries.digests(docs.limit(0), PATH, public_tokenizers.PATTERN).count() == 0
 
 
+def test_digests_are_of_ids_and_bytes(spark):
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.ranks(PATH), special_tokens={})
+    texts = [*ODD, "word " * 30_000, "é" * 50_000]
+    docs = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, n_tokens int").select("doc_id", "text")
+    for r in queries.digests(docs, PATH, public_tokenizers.PATTERN).collect():
+        ids = enc.encode_ordinary(texts[r["doc_id"]] or "")
+        packed = hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), packed, hashlib.sha256((texts[r["doc_id"]] or "").encode()).hexdigest())
+
+
+def test_items_of_equal_words_are_one_in_any_number_of_blocks(spark, monkeypatch):
+    same = ["One two three four five six", "one two, three four five six!", "ONE TWO THREE FOUR FIVE SIX", "one\u2003two three four five six", "«one two three four five six»"]
+    bench = spark.createDataFrame([(10 + i, t) for i, t in enumerate([*same, "other words stand here instead"])], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "so one two three four five six seven")], "doc_id long, text string")
+    for most in (20_000, 1):
+        monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", most)
+        assert [(r["item_id"], r["item_ids"]) for r in decontaminate.contained(docs, bench).collect()] == [(10, [10, 11, 12, 13, 14])]
+
+
 def test_heap_merges_equal_the_library():
     table = bpe.ranks(PATH)
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
@@ -91,7 +111,7 @@ def test_long_expressions_are_read_whole():
     assert licenses.parsed("MIT AND (ISC OR (BSD " + "AND X " * 100)[0] == frozenset({"mit"})
 
 
-def test_containment_against_brute_force(spark):
+def test_containment_against_brute_force(spark, monkeypatch):
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 6)))
     items = [" ".join(word() for _ in range(rng.choice([3, 6, 12, 30, 50]))) for _ in range(40)] + ["", None, "Un Éclair"]
@@ -122,5 +142,8 @@ def test_containment_against_brute_force(spark):
                 if n >= 0.8 * len(sh):
                     want[d, i] = (n, (4, 100) if i == 4 else (i,))
     assert got == want and len(want) > 40
+    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 7)
+    assert {(r["doc_id"], r["item_id"]): (r["n_found"], tuple(r["item_ids"])) for r in decontaminate.contained(table, bench).collect()} == want
+    assert decontaminate.without(table, bench).count() == len(docs) - len({d for d, _ in want})
     assert decontaminate.contained(table.limit(0), bench).count() == 0
     assert decontaminate.contained(table, bench.limit(0)).count() == 0
