@@ -304,43 +304,43 @@ def _rows(turn: int, block: np.ndarray, fp: np.ndarray, home: bool) -> pa.Record
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of an edge (u, v): root is the smallest node reachable.
 
-    Alternates large and small stars; each round is written to the shared folder and cuts the lineage. The edges of a
-    node that very many have are dealt to several tasks.
+    Alternates large and small stars until every edge leads to a root; each round is written to the shared folder and
+    cuts the lineage. The edges of a node that very many have are dealt to several tasks.
     """
-    edges, before = stored(_ordered(edges)), None
-    total = edges.count()
-    while True:
+    edges = stored(_ordered(edges))
+    while (total := edges.count()) and not _settled(edges):
+        large = _star(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), 2 * total, large=True)
+        large = stored(large) if total > FILE_EDGES else large
         # few edges are written in few files, whatever the number of shuffle partitions
-        files = -(-(total + 1) // FILE_EDGES)
-        large = stored(_star(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), 2 * total, large=True).coalesce(files))
-        last, edges = edges, stored(_star(large, 2 * total, large=False).coalesce(files))
+        last, edges = edges, stored(_star(large, 2 * total, large=False).distinct().coalesce(-(-total // FILE_EDGES)))
         dropped(last, large)
-        now = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        total = now["n"]
-        if before == now:
-            break
-        before = now
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node that isn't a root has one edge, to a root."""
+    ends = F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("root")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("root"))))
+    both = edges.select(ends.alias("e")).groupBy("e.node").agg(F.sum("e.up").alias("up"), F.max("e.root").alias("root"))
+    return not both.filter("up > 1 or (up = 1 and root = 1)").limit(1).count()
+
+
 def _ordered(edges: DataFrame) -> DataFrame:
     return edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
 def _star(edges: DataFrame, total: int, large: bool) -> DataFrame:
     """Joins each node's larger (or else its smaller) neighbours to the smallest node of its neighbourhood; total bounds the edges."""
-    if total <= FILE_EDGES:
-        # a task could have all edges
-        linked = edges.withColumn("m", F.least(F.min("v").over(Window.partitionBy("u")), F.col("u")))
+    least = edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+    if total <= 2 * FILE_EDGES:
+        # no more nodes than edges: a table of bounded size goes to all of them
+        linked = edges.join(F.broadcast(least.select("u", "m")), "u")
     else:
-        least = edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
         linked = spread_join(edges, least.select("u", "m"), "u", hot_keys(least, "u", total), F.col("v")).select("u", "v", "m")
     if large:
-        out = linked.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        out = linked.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(linked.select("u", F.col("m").alias("v")))
-    return out.filter("u <> v").distinct()
+        return linked.filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    ends = F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v"))))
+    return linked.select(ends.alias("e")).select("e.u", "e.v").filter("u <> v")
 
 
 def text_key(text: Column) -> Column:
