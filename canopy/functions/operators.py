@@ -40,21 +40,25 @@ def multiply(a: Column, b: Column) -> Column:
     return number_text(numprefix(a) * numprefix(b))
 
 
+def _quotient(a: Column, b: Column) -> Column:
+    """The quotient, null where b is zero."""
+    return F.try_divide(numprefix(a), numprefix(b))
+
+
 def divide(a: Column, b: Column) -> Column:
     """Division by zero gives 0."""
-    return F.when(numprefix(b) == 0, F.lit("0")).otherwise(number_text(F.try_divide(numprefix(a), numprefix(b))))
+    return number_text(F.coalesce(_quotient(a, b), F.lit(0.0)))
 
 
 def int_divide(a: Column, b: Column) -> Column:
     """The quotient cut towards zero; division by zero gives 0."""
-    q = F.try_divide(numprefix(a), numprefix(b))
-    return F.when(numprefix(b) == 0, F.lit("0")).otherwise(number_text(F.signum(q) * F.floor(F.abs(q)) + F.lit(0.0)))
+    q = F.coalesce(_quotient(a, b), F.lit(0.0))
+    return number_text(F.signum(q) * F.floor(F.abs(q)) + F.lit(0.0))
 
 
 def modulo(a: Column, b: Column) -> Column:
     """The remainder with the divisor's sign; modulo zero gives 0."""
-    x, y = numprefix(a), numprefix(b)
-    return F.when(y == 0, F.lit("0")).otherwise(number_text(x - y * F.floor(F.try_divide(x, y))))
+    return number_text(F.coalesce(numprefix(a) - numprefix(b) * F.floor(_quotient(a, b)), F.lit(0.0)))
 
 
 def power(a: Column, b: Column) -> Column:
