@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -171,13 +172,16 @@ def fitted(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIV
     wanted = {r["doc_id"]: (r["p"], r["place"]) for r in chosen.collect()}
     if not wanted:
         return None
-    listed = docs.sparkSession.createDataFrame([(i,) for i in wanted], docs.select("doc_id").schema)
-    found = featured(docs.select("doc_id", "text").filter(train).join(F.broadcast(listed), "doc_id", "left_semi"), ("doc_id",))
-    # one row for each id, however often it occurs
-    rows = found.groupBy("doc_id").agg(F.min("features").alias("features")).collect()
-    rows.sort(key=lambda r: wanted[r["doc_id"]][1])
-    x = np.array([np.frombuffer(r["features"], "<f8") for r in rows]).reshape(-1, N_FEATURES)
-    p = np.array([wanted[r["doc_id"]][0] for r in rows], dtype=bool)
+    kind = docs.select("doc_id").schema.add("p", "boolean").add("place", "long")
+    listed = docs.sparkSession.createDataFrame([(i, *how) for i, how in wanted.items()], kind)
+    del wanted
+    found = featured(docs.select("doc_id", "text").filter(train).join(F.broadcast(listed), "doc_id"), ("doc_id", "p", "place"))
+    # one row for each id, however often it occurs; as Arrow batches, which the driver holds once and not as objects
+    rows = found.groupBy("doc_id", "p", "place").agg(F.min("features").alias("features")).select("p", "place", "features").toArrow()
+    rows = rows.take(pc.sort_indices(rows.column("place")))
+    x = np.concatenate([np.zeros(0), *(np.frombuffer(b"".join(c.to_pylist()), "<f8") for c in rows.column("features").chunks)]).reshape(-1, N_FEATURES)
+    p = rows.column("p").to_numpy()
+    del rows
     return fit(x[p][:most_positive], x[~p][:most_unlabelled])
 
 

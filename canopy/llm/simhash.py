@@ -11,7 +11,8 @@ The lower levels are built in the task of a block: fingerprints sorted by Gray r
 one parent whose mask holds the bits that they all share; a node keeps only shared bits that its parent lacks, so
 differences add up on the way down and a whole run goes as soon as they pass a budget.
 
-A task returns a spanning forest of the links it found, never all pairs; stars contract the forests to components.
+A task returns a spanning forest of the links it found, never all pairs; the forests are contracted to components,
+first by tasks and then, where there are several, by stars.
 
 Where a Jaccard similarity is asked for, the index gives the first pairs, but fingerprints can't tell them all: at 0.8
 two of them differ in about 10 bits. Documents with equal sets of shingles are one node, MinHash bands add buckets, and
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import dropped, hot_keys, in_batches, spread_join, stored
+from .common import dropped, hot_keys, in_batches, spread_join, stored, swept
 
 SEED = 42
 FANOUT = 8
@@ -304,20 +305,46 @@ def _rows(turn: int, block: np.ndarray, fp: np.ndarray, home: bool) -> pa.Record
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of an edge (u, v): root is the smallest node reachable.
 
-    Alternates large and small stars until every edge leads to a root; each round is written to the shared folder and
-    cuts the lineage. The edges of a node that very many have are dealt to several tasks.
+    Each round first contracts what one task holds, about FILE_EDGES edges: that settles few edges at once. Large and
+    small stars follow until every edge leads to a root; each round is written to the shared folder and cuts the
+    lineage. The edges of a node that very many have are dealt to several tasks.
     """
     edges = stored(_ordered(edges))
-    while (total := edges.count()) and not _settled(edges):
+    total = edges.count()
+    while total:
+        parts = -(-total // FILE_EDGES)
+        last, edges = edges, stored(_contracted(edges, parts))
+        dropped(last)
+        total = edges.count()
+        if parts == 1 or not total or _settled(edges):
+            break
         large = _star(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), 2 * total, large=True)
         large = stored(large) if total > FILE_EDGES else large
         # few edges are written in few files, whatever the number of shuffle partitions
         last, edges = edges, stored(_star(large, 2 * total, large=False).distinct().coalesce(-(-total // FILE_EDGES)))
         dropped(last, large)
+        total = edges.count()
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
+def _contracted(edges: DataFrame, parts: int) -> DataFrame:
+    """Edges that join what edges join, at most one from a node in each of ``parts`` tasks: to the smallest node that the task's edges lead to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        u = v = np.zeros(0, np.int64)
+        for b in batches:
+            more = (b.column(c).to_numpy(zero_copy_only=False) for c in ("u", "v"))
+            u, v = (np.concatenate(x) for x in zip((u, v), more, strict=True))
+            names, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+            labels, _, _ = hook(np.arange(len(names)), at[: len(u)], at[len(u) :])
+            u, v = names, names[labels]
+            u, v = u[u != v], v[u != v]
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return edges.coalesce(parts).mapInArrow(run, "u long, v long")
+
+
 def _settled(edges: DataFrame) -> bool:
     """Whether every node that isn't a root has one edge, to a root."""
     ends = F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("root")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("root"))))
@@ -530,6 +557,7 @@ def similar_sets(sets: DataFrame, docs: DataFrame, width: int, least: float) ->
     found = None
     tried, pairs, low, high = close, close, 0, 1
     while True:
+        swept(docs.sparkSession)
         passed = stored(alike(pairs, words, width, least))
         if n := passed.count():
             # what is joined already goes in as a star
@@ -537,6 +565,7 @@ def similar_sets(sets: DataFrame, docs: DataFrame, width: int, least: float) ->
             n += found.count() if found else 0
             found, last = stored(components(stars).coalesce(-(-n // FILE_EDGES))), found
             dropped(last)
+            swept(docs.sparkSession)
         # the index is done; now the buckets, further and further apart
         low, high = high, 2 if low == 0 else high * STRIDE
         now = members.select("key", "node", "n")

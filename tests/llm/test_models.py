@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -177,6 +179,21 @@ def test_descent_lowers_the_non_negative_risk():
         assert risk(w + rng.normal(0, 0.05, 4), b + rng.normal(0, 0.05)) > risk(w, b) - 0.02
 
 
+def test_quality_sample_reaches_the_driver_without_rows_of_features(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    asked, collect = [], DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda self: asked.append(self.columns) or collect(self))
+    texts = [(i, f"A sentence of words, number {i}." if i % 2 else f"{i} $$$ ### {i * 7} @@@") for i in range(400)]
+    docs = spark.createDataFrame([*texts, texts[1]], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(1, 200, 2)], "doc_id long, quality int")
+    model = quality.fitted(docs, labels)
+    assert asked and not any("features" in columns for columns in asked)
+    good, free = ([quality.features(t) for i, t in texts if (zlib.crc32(str(i).encode()) % 4 != 2) and (i < 200 and i % 2 == 1) == of] for of in (True, False))
+    want = quality.fit(np.array(good), np.array(free))
+    assert np.allclose(model.mean, want.mean) and np.allclose(model.scale, want.scale)
+
+
 def test_quality_samples_prefer_no_ids_and_a_score_column_gives_way(spark):
     docs = spark.range(3000).selectExpr("id as doc_id", "concat('text number ', id) as text", "'mine' as score")
     labels = spark.range(3000).filter("id % 3 = 0").selectExpr("id as doc_id", "1 as quality")

@@ -85,6 +85,25 @@ def test_hubs_are_dealt(spark, monkeypatch):
     assert all(found[i] == 1 for i in range(1, 60, 2)) and len(found) == 60
 
 
+def jobs_of(spark, work):
+    """What work returns, and how many Spark jobs it took."""
+    sc, group = spark.sparkContext, f"jobs-{random.random()}"
+    sc.setJobGroup(group, group)
+    try:
+        return work(), len(sc.statusTracker().getJobIdsForGroup(group))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_few_edges_are_settled_at_once(spark):
+    edges = [(i, i + 1) for i in range(0, 3000) if i % 1000 != 999] + [(9, -5), (-(1 << 62), 2500), (7, 7), (8, 9), (9, 8)]
+    table = spark.createDataFrame(edges, "u long, v long")
+    got, jobs = jobs_of(spark, lambda: {r["node"]: r["root"] for r in S.components(table).collect()})
+    want = {i: -5 if i < 1000 else 1000 if i < 2000 else -(1 << 62) for i in range(3000)} | {-5: -5, -(1 << 62): -(1 << 62)}
+    assert got == want and jobs <= 12
+    assert S.components(table.filter("u = 7 and v = 7")).count() == 0
+
+
 def test_sketches_pass_over_no_true_pair():
     rng = np.random.default_rng(2)
     sets = []
