@@ -179,10 +179,9 @@ def fitted(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIV
     # one row for each id, however often it occurs; as Arrow batches, which the driver holds once and not as objects
     rows = found.groupBy("doc_id", "p", "place").agg(F.min("features").alias("features")).select("p", "place", "features").toArrow()
     rows = rows.take(pc.sort_indices(rows.column("place")))
-    x = np.concatenate([np.zeros(0), *(np.frombuffer(b"".join(c.to_pylist()), "<f8") for c in rows.column("features").chunks)]).reshape(-1, N_FEATURES)
-    p = rows.column("p").to_numpy()
+    chosen = [rows.filter(kind).slice(0, most).column("features") for kind, most in ((rows.column("p"), most_positive), (pc.invert(rows.column("p")), most_unlabelled))]
     del rows
-    return fit(x[p][:most_positive], x[~p][:most_unlabelled])
+    return fit(*[np.concatenate([np.zeros(0), *(np.frombuffer(x.as_py(), "<f8") for x in c)]).reshape(-1, N_FEATURES) for c in chosen])
 
 
 def featured(docs: DataFrame, keep: tuple[str, ...], text: str = "text") -> DataFrame:
