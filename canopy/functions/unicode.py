@@ -1,4 +1,7 @@
-"""Unicode helpers over code points; letters and digits are those of ASCII, and any other character counts as a letter."""
+"""Unicode helpers over code points; letters and digits are those of ASCII, and any other character counts as a letter.
+
+Their expressions repeat one class, never a group: Java matches a repeated group by recursion, so a long word would exhaust the stack.
+"""
 
 from __future__ import annotations
 
@@ -42,15 +45,15 @@ def lower(c: Column) -> Column:
 
 
 def is_alpha(c: Column) -> Column:
-    return text(c).rlike(r"\A(?:[A-Za-z]|[^\x00-\x7f])+\z")
+    return text(c).rlike(r"\A[A-Za-z\x{80}-\x{10ffff}]++\z")
 
 
 def is_digit(c: Column) -> Column:
-    return text(c).rlike(r"\A[0-9]+\z")
+    return text(c).rlike(r"\A[0-9]++\z")
 
 
 def is_alnum(c: Column) -> Column:
-    return text(c).rlike(r"\A(?:[0-9A-Za-z]|[^\x00-\x7f])+\z")
+    return text(c).rlike(r"\A[0-9A-Za-z\x{80}-\x{10ffff}]++\z")
 
 
 def code_point(c: Column, at: int) -> Column:
@@ -59,5 +62,7 @@ def code_point(c: Column, at: int) -> Column:
 
 
 def from_code_point(c: Column) -> Column:
-    """The character of a code point."""
-    return F.decode(F.unhex(F.lpad(F.hex(c.cast("bigint")), 8, "0")), "UTF-32")
+    """The character of a code point; empty where there is no such character."""
+    n = c.cast("bigint")
+    known = F.when(n.between(0, 0xD7FF) | n.between(0xE000, 0x10FFFF), n)
+    return F.coalesce(F.decode(F.unhex(F.lpad(F.hex(known), 8, "0")), "UTF-32"), F.lit(""))

@@ -101,3 +101,12 @@ def test_maths_dates_conditions_unicode(spark):
     check(spark, cases)
     with pytest.raises(ValueError):
         U.slice_of(L("x"), -1, 2)
+
+
+def test_unicode_of_long_words_and_empty_texts(spark):
+    long = F.repeat(F.concat(L("aé"), F.left(F.col("id").cast("string"), L(0))), L(100_000))
+    cases = [
+        (U.is_alpha(long), True), (U.is_alnum(F.concat(long, L("7😀"))), True), (U.is_alpha(F.concat(long, L("-"))), False), (U.is_digit(F.repeat(L("7"), L(200_000))), True), (U.is_alpha(L("a\x7f")), False), (U.is_alpha(L("a\x80")), True),
+        (U.from_code_point(U.code_point(L(""), 0)), ""), (U.from_code_point(L(0x1F600)), "😀"), (U.from_code_point(L(0)), "\x00"), (U.from_code_point(L(0xD800)), ""), (U.from_code_point(L(0x110000)), ""),
+    ]
+    check(spark, cases)
