@@ -40,9 +40,18 @@ def find(s: Column, t: Arg, start: Arg = 1) -> Column:
     return F.when(what == "", at).when(hit > 0, hit + F.length(what)).otherwise(F.lit(0))
 
 
-def justify(s: Column, width: Arg, decimals: int | None = None) -> Column:
-    """Right-justified, never cut; with decimals the value's number, rounded."""
-    t = text(s) if decimals is None else F.regexp_replace(F.format_string(f"%.{decimals}f", numprefix(s)), "^-(0(\\.0*)?)$", "$1")
+def _fixed(v: Column, decimals: int, comma: bool = False) -> Column:
+    """A number with decimals: its exact binary value is rounded, ties to even, as C does; Java's %f rounds its shortest text, halves up."""
+    return F.call_function("format_number", v, F.lit(("#,##0" if comma else "0") + ("." + "0" * decimals if decimals > 0 else "")))
+
+
+def justify(s: Column, width: Arg, decimals: int | None = None, signed: bool = False) -> Column:
+    """Right-justified, never cut; with decimals the value's number, rounded, a zero without a minus unless signed."""
+    if decimals is None:
+        t = text(s)
+    else:
+        t = _fixed(numprefix(s), decimals)
+        t = t if signed else F.regexp_replace(t, "^-(0(\\.0*)?)$", "$1")
     return F.lpad(t, F.greatest(_c(width), F.length(t)), F.lit(" "))
 
 
@@ -98,7 +107,8 @@ def fnumber(s: Column, codes: str = "", decimals: int | None = None) -> Column:
     size = F.abs(v)
     comma = "," if "," in codes else ""
     if decimals is not None and decimals > 0:
-        body = F.format_string(f"%{comma}.{decimals}f", size)
+        # the parentheses stand for the sign of what is below zero, which a zero with a minus isn't
+        body = _fixed(F.when(v < 0, size).otherwise(v) if "P" in codes.upper() else size, decimals, bool(comma))
     else:
         whole, fraction = F.format_string(f"%{comma}.0f", F.floor(size).cast("double")), F.regexp_extract(size.cast("decimal(38,12)").cast("string"), r"\.(\d*?)0*$", 1)
         body = F.concat(whole, F.when(fraction != "", F.concat(F.lit("."), fraction)).otherwise(F.lit("")))

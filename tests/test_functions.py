@@ -110,3 +110,11 @@ def test_unicode_of_long_words_and_empty_texts(spark):
         (U.from_code_point(U.code_point(L(""), 0)), ""), (U.from_code_point(L(0x1F600)), "😀"), (U.from_code_point(L(0)), "\x00"), (U.from_code_point(L(0xD800)), ""), (U.from_code_point(L(0x110000)), ""),
     ]
     check(spark, cases)
+
+
+def test_decimals_round_the_exact_value(spark):
+    values = [-0.0, -0.001, 0.125, 1.005, 2.675, 99999.995, -1.005, 4516.95]
+    df = spark.createDataFrame([(v,) for v in values], "v double").select(S.justify(F.col("v"), 0, 2, signed=True).alias("a"), S.fnumber(F.col("v").cast("string"), ",", 2).alias("b"), S.fnumber(F.col("v").cast("string"), "P,", 2).alias("c"))
+    shown = [f"{abs(v):,.2f}" for v in values]
+    assert [tuple(r) for r in df.collect()] == [(f"{v:.2f}", ("-" if v < 0 else "") + s, f"({s})" if v < 0 else f"{v:,.2f}") for v, s in zip(values, shown, strict=True)]
+    check(spark, [(S.justify(L("-0.01"), 8, 1), "     0.0"), (S.justify(L("1e30"), 0, 2), "1.00"), (S.justify(L("2.5"), 0, 0), "2")])
