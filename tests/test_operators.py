@@ -248,3 +248,20 @@ def test_ranges_take_blocks_of_blocks(spark):
     for lo, hi in asked:
         own = [v for i, v in values.items() if lo <= i <= hi]
         assert got[lo, hi] == (len(own), sum(own) if own else None, min(own, default=None), max(own, default=None)), (lo, hi)
+
+
+def test_ranges_are_one_row_each(spark):
+    rng = random.Random(5)
+    values = [(rng.randrange(2000), rng.choice([None, rng.randrange(-50, 50)])) for _ in range(3000)]
+    df = spark.createDataFrame(values, "at long, v long")
+    asked = [(k, *rng.choice([(a, a + rng.randrange(60)), (a, rng.randrange(a, 2300)), (a % 7, 1990 + a % 9), (None, a), (a, a - 1)])) for k in range(300) for a in [rng.randrange(-100, 2100)]]
+    got = A.range_aggregates(df, spark.createDataFrame(asked + asked[:5], "k long, lo long, hi long"), "at", "v", 16)
+    want = []
+    for k, lo, hi in asked + asked[:5]:
+        own = [v for i, v in values if v is not None and lo is not None and lo <= i <= hi]
+        want.append((k, len(own), sum(own) if own else None, min(own, default=None), max(own, default=None)))
+    assert sorted(tuple(r[c] for c in ("k", "n", "sum", "min", "max")) for r in got.collect()) == sorted(want, key=lambda r: r[0])
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(array_distinct" not in plan and "sequence(" not in plan.replace("sequence(0", "")
+    none = A.range_aggregates(df.limit(0), spark.createDataFrame([(0, 9)], "lo long, hi long"), "at", "v", 4).first()
+    assert (none["n"], none["sum"]) == (0, None)
