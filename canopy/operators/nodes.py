@@ -18,6 +18,8 @@ from ..functions.values import collation, collation_key, number_text, text
 from .lineage import ranged
 
 SCHEMA = "name string, subs array<string>, value string"
+#: Roots of one depth that go to all nodes.
+FEW_ROOTS = 10_000
 
 
 def of_rows(spark: SparkSession, rows: Iterable[tuple[str, list[str], str]]) -> DataFrame:
@@ -63,10 +65,18 @@ def kill(nodes: DataFrame, name: str, *prefix: str) -> DataFrame:
 
 
 def kill_all(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """nodes without any node of roots (name, subs) and all below; roots meet each node's own prefixes, by hash."""
-    prefixes = F.transform(F.sequence(F.lit(0), F.size("subs")), lambda k: F.slice("subs", F.lit(1), k))
-    hit = nodes.select("name", "subs", F.explode(prefixes).alias("p")).join(roots.select("name", F.col("subs").alias("p")), ["name", "p"], "left_semi")
-    return nodes.join(hit.select("name", "subs").distinct(), ["name", "subs"], "left_anti")
+    """nodes without any node of roots (name, subs) and all below.
+
+    For each depth that roots have, nodes meet them by their own path cut to that depth, by hash; a few roots go to all
+    nodes. Shorter paths, which many nodes share, take no part, and no node is ever several rows.
+    """
+    depths = {r["depth"]: r["n"] for r in roots.groupBy(F.size("subs").alias("depth")).agg(F.count(F.lit(1)).alias("n")).collect() if r["depth"] >= 0}
+    left = nodes
+    for depth in sorted(depths):
+        own = roots.filter(F.size("subs") == depth).select(F.col("name").alias("__name"), F.col("subs").alias("__root"))
+        own = F.broadcast(own) if depths[depth] <= FEW_ROOTS else own
+        left = left.join(own, (F.col("name") == F.col("__name")) & (F.slice("subs", 1, depth) == F.col("__root")), "left_anti")
+    return left
 
 
 def kill_value(nodes: DataFrame, name: str, *subs: str) -> DataFrame:

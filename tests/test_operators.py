@@ -265,3 +265,16 @@ def test_ranges_are_one_row_each(spark):
     assert "explode(array_distinct" not in plan and "sequence(" not in plan.replace("sequence(0", "")
     none = A.range_aggregates(df.limit(0), spark.createDataFrame([(0, 9)], "lo long, hi long"), "at", "v", 4).first()
     assert (none["n"], none["sum"]) == (0, None)
+
+
+def test_kill_by_roots_of_several_depths(spark):
+    rng = random.Random(6)
+    paths = {tuple(str(rng.randrange(4)) for _ in range(rng.randrange(5))) for _ in range(300)}
+    t = nodes.of_rows(spark, [(n, list(p), "v") for n in ("^A", "^B", "^C") for p in sorted(paths)])
+    roots = [("^A", ["1"]), ("^A", ["0", "2"]), ("^A", ["0", "2"]), ("^A", ["3", "3", "0", "1"]), ("^A", ["9"] * 7), ("^B", []), ("^C", ["2", "2", "1"])]
+    got = nodes.kill_all(t, spark.createDataFrame(roots, "name string, subs array<string>"))
+    want = sorted((n, p) for n in ("^A", "^B", "^C") for p in paths if not any(n == r and list(p[: len(q)]) == q for r, q in roots))
+    assert sorted((r["name"], tuple(r["subs"])) for r in got.collect()) == want
+    # no node is several rows: what one parent's many nodes share would be one task's
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert nodes.kill_all(t, spark.createDataFrame([], "name string, subs array<string>")).count() == t.count()
