@@ -4,7 +4,8 @@ A bounded sample gives cells (k-means) and, for residuals in subspaces of two co
 Their loss weighs the part of the error along a vector more than the part across it, since that is what changes large
 inner products. Every row is indexed: its cell and its four-bit codes. A query visits the cells with the largest
 products with their centres; there a table of its products with all centres, two codes to a byte, scores all rows, and
-the best go to an exact comparison of original vectors. How many cells a query visits is measured on the sample.
+the best go to an exact comparison of original vectors, with all that the error met there leaves possible. How many cells
+a query visits is measured on the sample, by rows that ask.
 
 Neighbouring cells make blocks of bounded size, larger than the depth of the exact comparison; a cell that is larger is
 dealt to several. Rows and queries meet in tasks for one block and a bounded number of its queries.
@@ -119,8 +120,8 @@ def codebooks(r: np.ndarray, u: np.ndarray, eta: float, rng: np.random.Generator
     return books
 
 
-def fit(x: np.ndarray, total: int, k: int, recall: float = RECALL, seed: int = 11) -> Index:
-    """An index for total rows from a sample of them."""
+def fit(x: np.ndarray, total: int, k: int, recall: float = RECALL, seed: int = 11, asked: np.ndarray | None = None) -> Index:
+    """An index for total rows from a sample of them; how much to visit is measured by asked vectors, else by some of the sample."""
     rng = np.random.default_rng(seed)
     x = padded(np.unique(x, axis=0).astype(np.float64))
     cells = means(x, int(np.clip(round(total**0.5), 1, min(MOST_CELLS, max(1, len(x) // 8)))), rng)
@@ -128,12 +129,16 @@ def fit(x: np.ndarray, total: int, k: int, recall: float = RECALL, seed: int = 1
     d = x.shape[1]
     eta = max(1.0, (d - 1) * THRESHOLD**2 / (1 - THRESHOLD**2))
     books = codebooks(x - cells[at], directions(x), eta, rng)
-    # visits: until the cells of the sample's true neighbours are among the best ones
-    trial = x[rng.choice(len(x), min(TRIALS, len(x)), replace=False)]
+    # visits: until the cells of the sample's true neighbours are among the best ones; a vector is no neighbour of its own
+    trial = x[rng.choice(len(x), min(TRIALS, len(x)), replace=False)] if asked is None or not len(asked) else padded(asked.astype(np.float64))
     order = np.argsort(-(trial @ cells.T), axis=1, kind="stable")
     place = np.empty_like(order)
     np.put_along_axis(place, order, np.arange(len(cells))[None, :], axis=1)
-    top = np.argsort(-(trial @ x.T), axis=1, kind="stable")[:, : k + 1]
+    product, own = trial @ x.T, {v.tobytes(): i for i, v in enumerate(x)}
+    for i, v in enumerate(trial):
+        if len(x) > 1 and v.tobytes() in own:
+            product[i, own[v.tobytes()]] = -np.inf
+    top = np.argsort(-product, axis=1, kind="stable")[:, : max(1, min(k, len(x) - 1))]
     need = np.sort(np.take_along_axis(place, at[top], axis=1).ravel())
     visits = int(need[min(len(need) - 1, int(recall * len(need)))]) + 1
     return Index(cells, books, eta, visits)
@@ -176,11 +181,12 @@ class Block:
         lo, hi = np.searchsorted(self.cells, cells, "left"), np.searchsorted(self.cells, cells, "right")
         return np.concatenate([np.arange(a, b) for a, b in zip(lo, hi, strict=True)] or [np.zeros(0, np.int64)])
 
-    def best(self, query: int, q: np.ndarray, cells: np.ndarray, index: Index, k: int) -> tuple[np.ndarray, np.ndarray, int, int]:
+    def best(self, query: int, q: np.ndarray, cells: np.ndarray, index: Index, k: int, sure: bool = False) -> tuple[np.ndarray, np.ndarray, int, int]:
         """(ids, products, vectors scanned, vectors compared): the k best rows in these cells but for the query's own.
 
         All of their vectors are scored by the four-bit tables; the best quarter is compared exactly, but at least
-        LEAST and at most RERANK vectors for each one wanted.
+        LEAST and at most RERANK vectors for each one wanted. If that is to be sure, so are all others that could be
+        among the best by the largest error of the tables met so far, however many they are.
         """
         seen = self.places(cells)
         if not len(seen):
@@ -192,6 +198,16 @@ class Block:
         most = min(RERANK * (k + 1), max(LEAST * (k + 1), len(seen) // 4))
         some = seen[np.argpartition(-rough, most)[:most]] if len(seen) > most else seen
         exact = (self.kinds[some] * q).sum(axis=1)
+        while sure and len(some) < len(seen):
+            # distinct vectors have an id each at least, one of which may be the query's own
+            least = np.partition(exact, -(k + 1))[-(k + 1)] if len(some) > k else -np.inf
+            at = np.searchsorted(seen, some)
+            more = rough >= least - np.abs(exact - rough[at]).max()
+            more[at] = False
+            if not more.any():
+                break
+            some = np.concatenate([some, seen[more]])
+            exact = np.concatenate([exact, (self.kinds[seen[more]] * q).sum(axis=1)])
         found, last = {}, np.inf
         for t in np.lexsort((self.ids[self.begin[some]], -exact)):
             # until there are enough, ties of the last one included
@@ -256,7 +272,9 @@ def searched(vectors: DataFrame, wanted: Column, k: int = 20, vec_id: str = "vec
     grain = 1 << 20
     some = own.filter(F.pmod(F.xxhash64(F.lit("ann"), "vec_id", "v"), F.lit(grain)) < min(grain, -(-SAMPLE * grain // total))).select("vec_id", "v").distinct().collect()
     some.sort(key=lambda r: (r["vec_id"], r["v"]))
-    index = fit(np.array([r["v"] for r in some] or [[0.0] * d]), total, k, recall)
+    # rows that ask may lie elsewhere than the rest: they say how much to visit
+    trial = own.filter("asks").select("vec_id", "v").distinct().orderBy(F.xxhash64(F.lit("trial"), "vec_id", "v"), "vec_id", "v").limit(TRIALS).collect()
+    index = fit(np.array([r["v"] for r in some] or [[0.0] * d]), total, k, recall, asked=np.array([r["v"] for r in trial]))
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -314,7 +332,7 @@ def searched(vectors: DataFrame, wanted: Column, k: int = 20, vec_id: str = "vec
             block = Block(ids, _matrix(rows_.column("v").combine_chunks(), d), packed, rows_.column("cell").to_numpy())
             q = _matrix(queries_.column("q").combine_chunks(), d)
             for i, (query, cells) in enumerate(zip(queries_.column("query_id").to_pylist(), queries_.column("cells").to_pylist(), strict=True)):
-                found, scores, _, _ = block.best(query, q[i], np.frombuffer(cells, "<i4"), index, k)
+                found, scores, _, _ = block.best(query, q[i], np.frombuffer(cells, "<i4"), index, k, sure=True)
                 out.append((np.full(len(found), query), found, scores))
         cols = [np.concatenate([o[i] for o in out]) if out else np.zeros(0) for i in range(3)]
         return pa.table({"query_id": pa.array(cols[0].astype(np.int64)), "vec_id": pa.array(cols[1].astype(np.int64)), "score": pa.array(cols[2].astype(np.float64))})

@@ -76,6 +76,32 @@ def test_scan_ranks_more_than_is_compared(n):
     assert hits >= 0.95 * there > 0
 
 
+def test_mips_of_queries_that_lie_elsewhere(spark):
+    rng = np.random.default_rng(7)
+    x = (rng.normal(size=(100, 32))[rng.integers(0, 100, 4000)] + 0.01 * rng.normal(size=(4000, 32))).astype(np.float32)
+    x[::20] = rng.normal(size=(200, 32))
+    got: dict = {}
+    for r in ann.searched(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0, 20).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    score = x[::20].astype(np.float64) @ x.astype(np.float64).T
+    score[np.arange(200), np.arange(0, 4000, 20)] = -np.inf
+    assert np.mean([len(got[20 * i] & set(np.argsort(-s)[:20].tolist())) / 20 for i, s in enumerate(score)]) >= 0.93
+
+
+def test_sure_scan_misses_nothing_of_heavy_norms():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 32)) * np.exp(3 * rng.normal(size=(3000, 1)))
+    index = ann.fit(x, 3000, 20)
+    cell = ann.nearest(x, index.cells)
+    block = ann.Block(np.arange(3000), x, ann.pairs_of(ann.coded(x - index.cells[cell], ann.directions(x), index.books, index.eta)), cell)
+    hits = []
+    for q in range(0, 3000, 50):
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits.append(len(set(np.argsort(-score)[:20].tolist()) & set(block.best(q, x[q], np.arange(len(index.cells)), index, 20, sure=True)[0].tolist())))
+    assert np.mean(hits) >= 19.9
+
+
 def test_blocks_hold_cells_whole_or_dealt():
     index = ann.Index(np.random.default_rng(1).normal(size=(50, 4)), np.zeros((2, 16, 2)), 1.0, 5)
     sizes = np.random.default_rng(2).integers(0, 3000, 50)
