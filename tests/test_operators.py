@@ -278,3 +278,22 @@ def test_kill_by_roots_of_several_depths(spark):
     # no node is several rows: what one parent's many nodes share would be one task's
     assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert nodes.kill_all(t, spark.createDataFrame([], "name string, subs array<string>")).count() == t.count()
+
+
+def test_nearest_points_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(A, "POINTS", 8)
+    rng = random.Random(9)
+    rows = [(i, rng.choice([[rng.gauss(0, 1), rng.gauss(0, 1)], [1.0, 2.0], [rng.gauss(5, 0.01), 0.0], [float(rng.randrange(4)), float(rng.randrange(4))]])) for i in range(400)]
+    rows += [(400, [float("nan"), 1.0]), (401, [None, 1.0]), (450, None), (402, [float("inf"), 1.0]), (500, [float("-inf"), 1.0])]
+    df = spark.createDataFrame(rows, "id long, p array<double>")
+    extra = spark.createDataFrame([(1000 + i, [rng.gauss(0, 9), rng.gauss(0, 9)]) for i in range(40)], "qid long, q array<double>")
+    asked = df.filter("id % 5 = 0").selectExpr("id as qid", "p as q").unionByName(extra)
+    finite = [(i, p) for i, p in rows if i < 400]
+    for own in (False, True):
+        got = {r["qid"]: (r["id"], r["dist2"]) for r in A.nearest_point(df, asked, 2, own).collect()}
+        for r in asked.filter("qid < 400 or qid >= 1000").collect():
+            want = min(((p[0] - r["q"][0]) * (p[0] - r["q"][0]) + (p[1] - r["q"][1]) * (p[1] - r["q"][1]), i) for i, p in finite if own or i != r["qid"])
+            assert got[r["qid"]] == (want[1], want[0])
+        assert got[400][0] == 0 and got[450][0] == 0
+    plan = A.nearest_point(df, asked, 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(0" not in plan
